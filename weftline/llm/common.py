@@ -66,7 +66,7 @@ def buffers(arr: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0] : off[-1]], off - off[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES, max_rows: int = 60_000) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, bytes, offsets) in slices of about `limit` bytes of text."""
     for b in batches:
         if not b.num_rows:
@@ -76,7 +76,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
         i = 0
         while i < b.num_rows:
             j = int(np.searchsorted(off, off[i] + limit, side="right")) - 1
-            j = min(max(j, i + 1), b.num_rows)
+            j = min(max(j, i + 1), b.num_rows, i + max_rows)
             yield b.slice(i, j - i), data[off[i] : off[j]], off[i : j + 1] - off[i]
             i = j
 
