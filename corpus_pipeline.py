@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.llm import decontaminate, line_dedup, packing, quality_rules
+from weftline.llm import decontaminate, line_dedup, ngram_join, packing, quality_rules
 from weftline.runtime import Scratch, table
 
 
@@ -23,6 +23,11 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select(docs.columns)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates one document stays, the one with the smallest id."""
+    return ngram_join.keep_one(docs)
+
+
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain a benchmark item go."""
     return decontaminate.remove_leaks(docs, table(spark, sf_dir, "benchmark"))
@@ -33,7 +38,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-STAGES = [("quality rules", quality), ("line dedup", lines), ("decontamination", leaks), ("packing", packed)]
+STAGES = [("quality rules", quality), ("line dedup", lines), ("n-gram Jaccard join", near_copies), ("decontamination", leaks), ("packing", packed)]
 
 #: Tokenising and packing are beyond SQL; tests/llm compares run() with a brute-force version.
 ORACLE_SQL = None
@@ -44,5 +49,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = scratch.save(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        docs = scratch.save(stage(spark, docs, sf_dir), name.replace(" ", "_").replace(".", ""))
     return STAGES[-1][1](spark, docs, sf_dir)
