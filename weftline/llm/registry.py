@@ -5,9 +5,11 @@ from weftline.llm.licenses import op10_licenses
 from weftline.llm.line_dedup import OP1_SQL, op1_line_dedup
 from weftline.llm.ngram_join import op7_ngram_join
 from weftline.llm.packing import op8_packing
+from weftline.llm.pii import op6_pii
+from weftline.llm.quality_model import op3_quality_model
 from weftline.llm.quality_rules import op9_quality_rules
 from weftline.llm.suffix_dedup import op2_suffix_dedup
 from weftline.llm.tokens import op5_token_counts
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_suffix_dedup, op4_decontaminate, op5_token_counts, op7_ngram_join, op8_packing, op9_quality_rules, op10_licenses)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_suffix_dedup, op3_quality_model, op4_decontaminate, op5_token_counts, op6_pii, op7_ngram_join, op8_packing, op9_quality_rules, op10_licenses)}
 ORACLES = {"op1_line_dedup": OP1_SQL}
