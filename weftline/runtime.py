@@ -74,6 +74,18 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files of finished steps whose results are saved.
+
+    Its cleaner acts when the JVM collects the plans that refer to them; a long job would else keep
+    every step's files on the executors' disks until the driver happens to run short of memory.
+    """
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 _shipped: set[str] = set()
 
 
