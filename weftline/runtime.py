@@ -81,9 +81,12 @@ def release_shuffles(spark: SparkSession) -> None:
     every step's files on the executors' disks until the driver happens to run short of memory.
     """
     import gc
+    import time
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what Python lets go of reaches the JVM first, then its cleaner's queue
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1)
 
 
 _shipped: set[str] = set()
