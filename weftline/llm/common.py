@@ -6,6 +6,7 @@ function says otherwise.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -79,6 +80,16 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             j = min(max(j, i + 1), b.num_rows, i + max_rows)
             yield b.slice(i, j - i), data[off[i] : off[j]], off[i : j + 1] - off[i]
             i = j
+    release()
+
+
+def release() -> None:
+    """Give freed memory back to the system: Python workers are reused and would else keep their peak."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # no glibc
+        pass
 
 
 def doc_of(off: np.ndarray) -> np.ndarray:
@@ -181,5 +192,18 @@ def unpack_n(b: bytes, n: int) -> np.ndarray:
     return a.view("<u8").ravel()
 
 
+def pack_small(v: np.ndarray) -> bytes:
+    """Numbers from 0, mostly below 255: a byte each, with a byte of 255 before for every 255 beyond."""
+    q = v // 255
+    out = np.full(len(v) + int(q.sum()), 255, np.uint8)
+    out[np.cumsum(q + 1) - 1] = v % 255
+    return out.tobytes()
+
+
+def unpack_small(b: bytes) -> np.ndarray:
+    a = np.frombuffer(b, np.uint8)
+    return np.diff(np.cumsum(a, dtype=np.int64)[a != 255], prepend=0)
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
