@@ -102,7 +102,7 @@ def n_symbols(s: Slice) -> np.ndarray:
 def n_dup_lines(s: Slice) -> np.ndarray:
     """Lines with a word that equal an earlier line of the same document."""
     nl = s.data == 10
-    st = np.sort(np.concatenate((s.off[:-1], np.flatnonzero(nl) + 1)))
+    st = np.unique(np.concatenate((s.off[:-1], np.flatnonzero(nl) + 1)))  # a row may begin right after the last one's newline
     row = np.searchsorted(s.off, st, side="right") - 1
     # a line that would begin at a row's end belongs to no row; an empty row has an empty line
     keep = st <= len(s.data)
