@@ -26,45 +26,54 @@ MIN_SITES, MAX_LINE_CHARS, LG_K = 8, 150, 10
 _WORD = "[^ \\t\\n\\x0B\\f\\r]"
 
 
-def _lines(docs: DataFrame, max_line_chars: int, **keep) -> DataFrame:
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    d = docs.select(*[c.alias(n) for n, c in keep.items()], F.posexplode(F.split(text, "\n", -1)).alias("_pos", "_line"))
-    d = d.where((F.length("_line") <= max_line_chars) & F.col("_line").rlike(_WORD))
-    return d.withColumn("_h1", F.xxhash64("_line")).withColumn("_h2", F.crc32(F.encode("_line", "UTF-8"))).withColumn("_n", F.length("_line"))
+def _packed(docs: DataFrame) -> DataFrame:
+    """Each row as one struct r beside what is needed, so that no column's name can clash."""
+    return docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"), F.col("doc_id").alias("id"),
+        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"), F.coalesce(F.col("source").cast("string"), F.lit("\0null")).alias("site"),
+    )
 
 
-def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, max_line_chars: int = MAX_LINE_CHARS, lg_k: int = LG_K) -> DataFrame:
-    """Keys (_h1, _h2) of the lines that at least min_sites sites show."""
-    site = F.coalesce(F.col("source").cast("string"), F.lit("\0null"))
-    lines = _lines(docs, max_line_chars, _site=site).select("_h1", "_h2", "_site")
-    # one row per line, site and map task; then sketches
-    est = lines.groupBy("_h1", "_h2").agg(F.count("*").alias("_rows"), F.hll_sketch_estimate(F.hll_sketch_agg("_site", lg_k)).alias("_est"))
-    est = est.where(F.col("_rows") >= min_sites)
+def _lines(d: DataFrame, max_line_chars: int, *keep: str) -> DataFrame:
+    d = d.select(*keep, F.explode(F.split("t", "\n", -1)).alias("line"))
+    d = d.where((F.length("line") <= max_line_chars) & F.col("line").rlike(_WORD))
+    return d.select(*keep, F.xxhash64("line").alias("h1"), F.crc32(F.encode("line", "UTF-8")).alias("h2"))
+
+
+def _boilerplate(d: DataFrame, min_sites: int, max_line_chars: int, lg_k: int) -> DataFrame:
+    lines = _lines(d, max_line_chars, "site")
+    est = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.hll_sketch_estimate(F.hll_sketch_agg("site", lg_k)).alias("est"))
+    est = est.where(F.col("n") >= min_sites)
     margin = 1 + math.ceil(4 * 1.04 / math.sqrt(2**lg_k) * min_sites)
-    sure = est.where(F.col("_est") > min_sites + margin).select("_h1", "_h2")
-    near = est.where(F.col("_est").between(min_sites - margin, min_sites + margin)).select("_h1", "_h2")
-    exact = lines.join(near, ["_h1", "_h2"], "left_semi").distinct().groupBy("_h1", "_h2").count().where(F.col("count") >= min_sites).select("_h1", "_h2")
+    sure = est.where(F.col("est") > min_sites + margin).select("h1", "h2")
+    near = est.where(F.col("est").between(min_sites - margin, min_sites + margin)).select("h1", "h2")
+    exact = lines.join(near, ["h1", "h2"], "left_semi").distinct().groupBy("h1", "h2").count().where(F.col("count") >= min_sites).select("h1", "h2")
     return sure.unionByName(exact)
 
 
-def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, max_line_chars: int = MAX_LINE_CHARS, counts: bool = False) -> DataFrame:
+def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, max_line_chars: int = MAX_LINE_CHARS, lg_k: int = LG_K) -> DataFrame:
+    """Keys (h1, h2) of the lines that at least min_sites sites show."""
+    return _boilerplate(_packed(docs), min_sites, max_line_chars, lg_k)
+
+
+def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, max_line_chars: int = MAX_LINE_CHARS, counts: bool = False, lg_k: int = LG_K) -> DataFrame:
     """The documents with boilerplate lines taken out of `text`; with counts=True also _n_lines, _n_removed."""
-    keys = boilerplate(docs, min_sites, max_line_chars)
-    hits = _lines(docs, max_line_chars, _id=F.col("doc_id")).select("_id", "_pos", "_h1", "_h2", "_n").join(keys, ["_h1", "_h2"], "left_semi")
-    # doc_id may repeat: a set, since equal ids with different texts are told apart by the hash below
-    hits = hits.groupBy("_id").agg(F.collect_set(F.struct("_h1", "_h2")).alias("_keys"))
-    j = docs.join(hits.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    ls = F.split(text, "\n", -1)
-    gone = lambda x: (F.length(x) <= max_line_chars) & x.rlike(_WORD) & F.array_contains("_keys", F.struct(F.xxhash64(x).alias("_h1"), F.crc32(F.encode(x, "UTF-8")).alias("_h2")))
-    j = j.withColumn("_kept", F.when(F.col("_keys").isNotNull(), F.filter(ls, lambda x: ~gone(x))))
-    new = F.array_join("_kept", "\n")
-    lost = F.aggregate(ls, F.lit(0), lambda a, x: a + F.length(x)) - F.aggregate("_kept", F.lit(0), lambda a, x: a + F.length(x))
-    act = F.col("_keys").isNotNull() & (2 * lost <= F.length(text))
-    j = j.withColumn("_act", F.coalesce(act, F.lit(False)))
+    d = _packed(docs)
+    keys = _boilerplate(d, min_sites, max_line_chars, lg_k)
+    hits = _lines(d, max_line_chars, "id").join(keys, ["h1", "h2"], "left_semi")
+    # rows that share an id get each other's keys too, and look them up by their own lines' hashes
+    hits = hits.groupBy(F.col("id").alias("hid")).agg(F.collect_set(F.struct("h1", "h2")).alias("found"))
+    j = d.join(hits.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("hid")), "left")
+    ls = F.split("t", "\n", -1)
+    gone = lambda x: (F.length(x) <= max_line_chars) & x.rlike(_WORD) & F.array_contains("found", F.struct(F.xxhash64(x).alias("h1"), F.crc32(F.encode(x, "UTF-8")).alias("h2")))
+    j = j.withColumn("kept", F.when(F.col("found").isNotNull(), F.filter(ls, lambda x: ~gone(x))))
+    lost = F.aggregate(ls, F.lit(0), lambda a, x: a + F.length(x)) - F.aggregate("kept", F.lit(0), lambda a, x: a + F.length(x))
+    act = F.col("kept").isNotNull() & (F.size("kept") < F.size(ls)) & (2 * lost <= F.length("t"))
+    j = j.withColumn("act", F.coalesce(act, F.lit(False)))
+    out = [F.when(F.col("act"), F.array_join("kept", "\n")).otherwise(F.col("r.text")).alias(c) if c == "text" else F.col(f"r.`{c}`").alias(c) for c in docs.columns]
     if counts:
-        j = j.withColumn("_n_lines", F.size(ls).cast("long")).withColumn("_n_removed", F.when(F.col("_act"), F.size(ls) - F.size("_kept")).otherwise(0).cast("long"))
-    return j.withColumn("text", F.when(F.col("_act"), new).otherwise(F.col("text"))).drop("_keys", "_kept", "_act")
+        out += [F.size(ls).cast("long").alias("_n_lines"), F.when(F.col("act"), F.size(ls) - F.size("kept")).otherwise(0).cast("long").alias("_n_removed")]
+    return j.select(*out)
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
