@@ -8,7 +8,7 @@ lower-cased (A-Z) bytes with every white-space byte turned into a space, so posi
 Items are broadcast in blocks of at most `block_bytes`; a benchmark of any size is a stated query set run
 against all rows, block by block.
 
-Defined results: null or empty texts match nothing; null or empty items match nothing; an item shorter
+Defined results: null or empty texts match nothing; null, empty or blank items match nothing; an item shorter
 than 16 bytes must occur exactly; repeated items and documents are each reported; for a document and item
 the match of least distance counts, the leftmost of equals; an empty table gives no rows.
 """
@@ -52,7 +52,7 @@ def myers(pattern: bytes, text: bytes, k: int) -> tuple[int, int] | None:
     for i, c in enumerate(pattern):
         peq[c] |= 1 << i
     full, high = (1 << m) - 1, 1 << (m - 1)
-    pv, mv, score, best = full, 0, m, None
+    pv, mv, score, best = full, 0, m, (m, 0) if m <= k else None
     for j, c in enumerate(text):
         eq = peq.get(c, 0)
         xv = eq | mv
@@ -156,8 +156,8 @@ def blocks(benchmark: DataFrame, block_bytes: int = 1 << 20) -> Iterator[list[tu
     """The test items, normalised, in blocks of bounded size; the driver holds one block."""
     out, size = [], 0
     for r in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).toLocalIterator():
-        if r[1]:
-            out.append((r[0], normal(r[1])))
+        if r[1] and (t := normal(r[1])).strip():
+            out.append((r[0], t))
             size += len(out[-1][1])
             if size >= block_bytes:
                 yield out

@@ -319,13 +319,14 @@ def decode(p: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
     stay = np.array([tr[k, k] for k in range(1, _K)], F32)
     enter, leave = tr[0, 1:].astype(F32), tr[1:, 0].astype(F32)
     # the most that any stretch inside kinds can win over staying outside
-    gain = np.maximum(e + np.maximum(stay, np.maximum(enter, 0) + np.maximum(leave, 0))[None, :, None], 0).max(1).sum(0)
+    step = np.maximum(np.maximum(stay, enter), tr[0, 0]) + np.maximum(leave - tr[0, 0], 0)
+    gain = np.maximum(e + step[None, :, None], 0).max(1).sum(0)
     todo = np.flatnonzero(gain > 0)
     if not len(todo):
         return tags
     e = e[:, :, todo]
     n = len(todo)
-    o, s = np.zeros(n, F32), e[0] + 0
+    o, s = np.zeros(n, F32), e[0] + tr[0, 0]  # nothing comes before the first
     from_o = np.zeros((t, _K - 1, n), bool)
     to_o = np.zeros((t, n), np.uint8)
     lo, st, en, z = leave[:, None], stay[:, None], enter[:, None], tr[0, 0]
