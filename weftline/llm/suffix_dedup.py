@@ -14,10 +14,11 @@ a larger cover samples 11 % of the positions instead of 67 %, and two levels of
 Sorting is distributed by name. Entries travel as packed arrays, one row for each map slice and name
 bucket; a slice sends any name once and settles its own repetitions, so a name that a third of all rows
 hold costs one entry per slice. Texts that are equal as a whole are recognised by their hash: each of them is covered
-entirely, and one of them stands for all in the search.
+entirely, and one of them stands for all in the search. Only texts with a shared name or a copy are shuffled.
 
-Fingerprints have 64 bits (names 40 bits and a bucket, where a clash only costs work, never a result);
-among n compared positions a false match has a probability of about n * n / 2**65.
+Fingerprints of 200-byte prefixes have 56 bits beside their bucket; among n compared positions a false
+match has a probability of about n * n / (2**57 * buckets). Names of the first level have 40 bits, where a
+clash only costs work, never a result.
 
 Defined results: null text is empty; texts under 200 bytes keep everything; repeated rows are copies of
 each other and lose everything from 200 bytes on; an empty table gives no rows; very long texts are read
@@ -35,29 +36,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import common as C
-from weftline.runtime import ship_package, shuffle_partitions, table
+from weftline.runtime import Scratch, release_shuffles, ship_package, shuffle_partitions, table
 
 MATCH, V = 200, 91
 COVER = (0, 1, 3, 9, 27, 49, 56, 61, 77, 81)
 PREFIX = MATCH - V + 1
-SLICE = 4 << 20
+SLICE = 2 << 20
 
-_BLOB = "bucket int, wide boolean, ks binary, counts binary, vals binary, hashes binary"
+_BLOB = "bucket int, ks binary, counts binary, vals binary, hashes binary"
 _FLAT = "k long, vals binary"
 
 
 def _flat(k: np.ndarray, val: np.ndarray) -> pa.RecordBatch:
-    """Rows (k, packed values) from parallel arrays."""
-    order = np.argsort(k, kind="stable")
-    k, val = k[order], val[order].astype("<u4")
+    """Rows (k, packed ascending values) from parallel arrays."""
+    order = np.lexsort((val, k))
+    k, val = k[order], val[order].astype(np.int64)
     st = C.starts_of_groups(k)
-    off = np.append(st, len(k)).astype(np.int64) * 4
-    packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(st), [None, pa.py_buffer(off.tobytes()), pa.py_buffer(val.tobytes())])
+    delta = np.diff(val, prepend=0)
+    delta[st] = val[st]
+    size = np.append(0, np.cumsum(delta // 255 + 1))
+    off = size[np.append(st, len(k))].astype("<i8")
+    packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(st), [None, pa.py_buffer(off.tobytes()), pa.py_buffer(C.pack_small(delta))])
     return pa.RecordBatch.from_arrays([pa.array(k[st].view(np.int64)), packed.cast(pa.binary())], names=["k", "vals"])
 
 
+def _unpacked(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(values, how many of each part) of parts packed by _flat, part i at data[off[i]:off[i + 1]]."""
+    ends = np.flatnonzero(data != 255)
+    c = np.concatenate(([0], np.cumsum(data, dtype=np.int64)))
+    first = np.searchsorted(ends, off)
+    n = np.diff(first)
+    return c[ends + 1] - np.repeat(c[off[:-1]], n), n
+
+
 def _empty_blob() -> list[list]:
-    return [[] for _ in range(6)]
+    return [[] for _ in range(5)]
 
 
 def _scatter(h: np.ndarray, doc: np.ndarray, val: np.ndarray, ks: np.ndarray, nb: int, width: int) -> Iterator[pa.RecordBatch]:
@@ -75,12 +88,11 @@ def _scatter(h: np.ndarray, doc: np.ndarray, val: np.ndarray, ks: np.ndarray, nb
         st = C.starts_of_groups(d)
         delta = np.diff(v, prepend=0)
         delta[st] = v[st]
-        wide = bool(delta.max() > 65535)
-        for c, x in zip(cols, (b, wide, ks[d[st]].tobytes(), np.diff(np.append(st, hi - lo)).astype("<u4").tobytes(), delta.astype("<u4" if wide else "<u2").tobytes(), C.pack_n(h[lo:hi], width))):
+        for c, x in zip(cols, (b, ks[d[st]].tobytes(), np.diff(np.append(st, hi - lo)).astype("<u4").tobytes(), C.pack_small(delta), C.pack_n(h[lo:hi], width))):
             c.append(x)
     if cols[0]:
         yield pa.RecordBatch.from_arrays(
-            [pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.bool_()), *(pa.array(c, pa.binary()) for c in cols[2:])], names=["bucket", "wide", "ks", "counts", "vals", "hashes"]
+            [pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["bucket", "ks", "counts", "vals", "hashes"]
         )
 
 
@@ -98,7 +110,7 @@ def _settle(h: np.ndarray, doc: np.ndarray, val: np.ndarray, ks: np.ndarray, nb:
         none = pa.array([b""] * n, pa.binary())
         key = pa.Array.from_buffers(pa.binary(8), n, [None, pa.py_buffer(flat.column(0).to_numpy().astype("<i8").tobytes())]).cast(pa.binary())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(n, -1, np.int32)), pa.array(np.zeros(n, bool)), key, none, flat.column(1), none], names=["bucket", "wide", "ks", "counts", "vals", "hashes"]
+            [pa.array(np.full(n, -1, np.int32)), key, none, flat.column(1), none], names=["bucket", "ks", "counts", "vals", "hashes"]
         )
     one = np.sort(order[st])
     yield from _scatter(h[one], doc[one], val[one], ks, nb, width)
@@ -110,12 +122,12 @@ def _repeated(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hs, kk, vv = [], [], []
         for b in batches:
-            for bucket, wide, ks, counts, vals, hashes in zip(*(c.to_pylist() for c in b.columns)):
+            for bucket, ks, counts, vals, hashes in zip(*(c.to_pylist() for c in b.columns)):
                 if bucket < 0:
-                    yield _flat(np.full(len(vals) // 4, np.frombuffer(ks, "<u8")[0]), np.frombuffer(vals, "<u4"))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(ks, "<i8")), pa.array([vals], pa.binary())], names=["k", "vals"])
                     continue
                 n = np.frombuffer(counts, "<u4").astype(np.int64)
-                delta = np.frombuffer(vals, "<u4" if wide else "<u2").astype(np.int64)
+                delta = C.unpack_small(vals)
                 c = np.cumsum(delta)
                 st = np.cumsum(n) - n
                 vv.append((c - np.repeat(c[st] - delta[st], n)).astype(np.uint32))
@@ -182,8 +194,8 @@ def _flagged(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     if col.null_count:
         per_row = np.where(col.is_null().to_numpy(zero_copy_only=False), 0, per_row)
     data, off = C.buffers(col.flatten())
-    val = np.frombuffer(data.tobytes(), "<u4").astype(np.int64)
-    row = np.repeat(np.repeat(np.arange(len(col)), per_row), np.diff(off) // 4)
+    val, n = _unpacked(data, off)
+    row = np.repeat(np.repeat(np.arange(len(col)), per_row), n)
     return row, val
 
 
@@ -210,7 +222,7 @@ def _anchor(nb: int, match: int):
             ok = at + match <= off[doc + 1]
             at, doc = at[ok], doc[ok]
             if len(at):
-                yield from _settle(C.Rolling(data)(at, at + match), doc, at - off[doc], ks, nb, 8)
+                yield from _settle(C.Rolling(data)(at, at + match), doc, at - off[doc], ks, nb, 7)
 
     return run
 
@@ -245,7 +257,38 @@ def _cover(match: int, texts: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, match: int = MATCH, texts: bool = False) -> DataFrame:
+WORDS = 1 << 17
+
+
+def _marked(bits: np.ndarray, k: np.ndarray) -> np.ndarray:
+    return ((bits[(k >> C.U(47)).astype(np.int64)] >> (k & C.U(63))) & C.U(1)).astype(bool)
+
+
+def _only_marked(bits: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(_marked(bits, _keys(b))))
+
+    return run
+
+
+def _whole(bits: np.ndarray, texts: bool):
+    """Texts in which nothing can repeat keep all their bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            b = b.filter(pa.array(~_marked(bits, _keys(b))))
+            t = C.column(b, "text").to_pylist()
+            n = [len(x.encode()) for x in t]
+            zero = pa.array(np.zeros(len(t), np.int64))
+            cols = [C.column(b, "doc_id"), pa.array(n, pa.int64()), zero, zero, pa.array([hashlib.sha256(x.encode()).hexdigest() for x in t], pa.string())]
+            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+            yield pa.RecordBatch.from_arrays([*cols, C.column(b, "text")] if texts else cols, names=[*names, "kept_text"] if texts else names)
+
+    return run
+
+
+def remove_repeats(docs: DataFrame, match: int = MATCH, texts: bool = False, scratch: Scratch | None = None) -> DataFrame:
     """What is left of each text: sizes, spans and SHA-256; with texts=True the text too (cut code points dropped).
 
     `match` may be any length of at least 110 bytes.
@@ -257,19 +300,33 @@ def remove_repeats(docs: DataFrame, match: int = MATCH, texts: bool = False) ->
     nb = shuffle_partitions(spark)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("k", F.xxhash64("text"))
+    scratch = scratch or Scratch(spark)
     copies = d.groupBy("k").agg(F.count("*").alias("copies")).where("copies > 1").select("k", F.lit(None).cast("binary").alias("vals"), "copies")
 
-    def answers(entries: DataFrame, width: int) -> DataFrame:
+    def answers(entries: DataFrame, width: int, copies: DataFrame) -> DataFrame:
         a = entries.repartition(nb, "bucket").mapInArrow(_repeated(width), _FLAT)
         a = a.select("k", "vals", F.lit(1).cast("long").alias("copies")).unionByName(copies)
-        a = a.groupBy("k").agg(F.collect_list("vals").alias("lists"), F.max("copies").alias("copies"))
-        j = d.join(a.hint("shuffle_hash"), "k", "left")
-        return j.select("doc_id", "text", "k", "lists", F.coalesce("copies", F.lit(1)).alias("copies"))
-
-    first = answers(d.select("text", "k").mapInArrow(_sample(nb, match), _BLOB), 5)
-    second = answers(first.mapInArrow(_anchor(nb, match), _BLOB), 8)
+        return a.groupBy("k").agg(F.collect_list("vals").alias("lists"), F.max("copies").alias("copies"))
+
+    first = scratch.save(answers(d.select("text", "k").mapInArrow(_sample(nb, match), _BLOB), 5, copies), "names")
+    release_shuffles(spark)
+    # Which texts have a shared name or a copy, as a bit map of fixed size (1 MB); a wrong mark only costs work.
+    one = F.lit(1).cast("long")
+    rows = first.select(F.shiftrightunsigned("k", 47).alias("w"), F.expr("shiftleft(1L, int(k & 63))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).collect()
+    bits = np.zeros(WORDS, np.int64)
+    for w, b in rows:
+        bits[w] = b
+    bits = bits.view(np.uint64)
+    some = d.mapInArrow(_only_marked(bits), "doc_id long, text string, k long")
+
+    def joined(a: DataFrame) -> DataFrame:
+        j = some.join(a.hint("shuffle_hash"), "k", "left")
+        return j.select("doc_id", "text", "k", "lists", F.coalesce("copies", one).alias("copies"))
+
+    known = first.where("copies > 1").select("k", F.lit(None).cast("binary").alias("vals"), "copies")
+    second = joined(answers(joined(first).mapInArrow(_anchor(nb, match), _BLOB), 7, known))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * texts
-    return second.mapInArrow(_cover(match, texts), schema)
+    return second.mapInArrow(_cover(match, texts), schema).unionByName(d.mapInArrow(_whole(bits, texts), schema))
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
