@@ -32,7 +32,7 @@ from weftline.runtime import Scratch, ship_package, shuffle_partitions, table
 
 ORDER = 5
 SHARDED = (3, 4, 5)
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 QUANTILE, SLACK = 0.99, 1.15
 _MASK = {k: C.U((1 << 8 * k) - 1) for k in range(1, ORDER + 1)}
 
