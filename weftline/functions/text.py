@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from weftline.dims import STOP_WORDS
 
@@ -76,7 +77,7 @@ def email_domain(c: Column) -> Column:
     return F.try_element_at(F.split(email(c), "@", 2), F.lit(2))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Sequence-matcher ratio; the argument order matters, the lesser ordinal goes first. Null counts as empty."""
 

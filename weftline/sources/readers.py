@@ -21,7 +21,7 @@ def csv(spark: SparkSession, path: str) -> DataFrame:
 
 def markdown_dir(spark: SparkSession, path: str) -> DataFrame:
     """(file, text) of the policy documents: no dot files, order papers, readmes or blank files."""
-    t = spark.read.option("wholetext", True).option("pathGlobFilter", "*.md").text(path)
+    t = spark.read.option("pathGlobFilter", "*.md").text(path, wholetext=True)
     t = t.select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text"))
     skip = F.lower("file").rlike("^(\\.|invoice|purchase_order|shipping_order|readme)")
     return t.where(~skip & (F.trim(F.regexp_replace("text", "\\s", "")) != ""))
