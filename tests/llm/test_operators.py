@@ -175,6 +175,8 @@ def test_kneser_ney(spark, docs, texts, none):
     d = spark.createDataFrame(rows_of(small), NASTY).repartition(4)
     trusted = spark.createDataFrame([(i,) for i in range(0, len(small), 3)] + [(None,), (0,)], "doc_id long")
     got = by_id(quality_model.perplexities(d, trusted), "perplexity")
+    salted = by_id(quality_model.perplexities(d, trusted, docs_per_salt=9, broadcast_ids=0), "perplexity")
+    assert {k: v[0] and round(v[0], 2) for k, v in got.items()} == {k: v[0] and round(v[0], 2) for k, v in salted.items()}
     want = brute_kn([t or "" for t in small[::3]], [t or "" for t in small])
     for i, w in enumerate(want):
         assert (got[i][0] is None) == (w is None)

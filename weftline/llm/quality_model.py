@@ -191,15 +191,15 @@ def _ask(shards: int):
 
 
 def _answer(ds: dict[int, np.ndarray], p2: np.ndarray):
-    """A shard's counts (block null) come first, then the blocks' questions."""
+    """For each shard and salt its counts (block null) come first, then the blocks' questions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, model = None, None
         for b in batches:
             out: list[list] = [[], [], []]
-            for s, block, g, c in zip(*(C.column(b, x).to_pylist() for x in ("shard", "block", "grams", "counts"))):
-                if s != shard:
-                    shard, model = s, levels(np.zeros(0, C.U), np.zeros(0, np.int64))
+            for s, salt, block, g, c in zip(*(C.column(b, x).to_pylist() for x in ("shard", "salt", "block", "grams", "counts"))):
+                if (s, salt) != shard:
+                    shard, model = (s, salt), levels(np.zeros(0, C.U), np.zeros(0, np.int64))
                 if block is None:
                     model = levels(C.unpack40(g), np.frombuffer(c, "<u4").astype(np.int64))
                     continue
@@ -248,8 +248,12 @@ def _score(shards: int):
     return run
 
 
-def perplexities(docs: DataFrame, trusted: DataFrame, scratch: Scratch | None = None, broadcast_ids: int = 1_000_000) -> DataFrame:
-    """(doc_id, lang, trusted, n_bytes, perplexity); trusted holds the doc_id of the texts to learn from."""
+def perplexities(docs: DataFrame, trusted: DataFrame, scratch: Scratch | None = None, broadcast_ids: int = 1_000_000, docs_per_salt: int = 500_000) -> DataFrame:
+    """(doc_id, lang, trusted, n_bytes, perplexity); trusted holds the doc_id of the texts to learn from.
+
+    A shard exists once for every docs_per_salt documents, so that the task of a frequent context answers a
+    bounded number of blocks; counts are merged by shard and salt before they are merged by shard.
+    """
     spark = docs.sparkSession
     ship_package(spark)
     scratch = scratch or Scratch(spark)
@@ -261,8 +265,12 @@ def perplexities(docs: DataFrame, trusted: DataFrame, scratch: Scratch | None =
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), text.alias("text"))
     d = d.join(ids, d["doc_id"] == ids["_id"], "left").select("doc_id", "lang", "text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
     packed = "shard int, grams binary, counts binary"
-    counts = d.where("trusted").select("text").mapInArrow(_count(shards), packed).repartition(shards, "shard").mapInArrow(_merge, packed)
-    counts = scratch.save(counts, "ngrams")
+    salts = 1 + d.count() // docs_per_salt
+    counts = d.where("trusted").select("text").mapInArrow(_count(shards), packed)
+    if salts > 1:
+        part = counts.repartition(shards, "shard", F.pmod(F.spark_partition_id(), F.lit(salts)))
+        counts = part.mapInArrow(_merge, packed)
+    counts = scratch.save(counts.repartition(shards, "shard").mapInArrow(_merge, packed), "ngrams")
 
     st = counts.select("grams", "counts").mapInArrow(_statistics, "order int, key long, value long").groupBy("order", "key").agg(F.sum("value").alias("value")).collect()  # at most 65,548 rows
     ds = {k: discounts(np.array([sum(r["value"] for r in st if r["order"] == k and r["key"] == i) for i in range(1, 5)])) for k in SHARDED}
@@ -271,8 +279,9 @@ def perplexities(docs: DataFrame, trusted: DataFrame, scratch: Scratch | None =
 
     blocks = d.mapInArrow(_blocks, "block long, packed binary, lens binary, meta array<struct<doc_id:long,lang:string,trusted:boolean>>").repartition(shards, "block")
     ask = blocks.select("block", "packed", "lens", "meta").mapInArrow(_ask(shards), "shard int, block long, grams binary, counts binary")
-    ask = counts.select("shard", F.lit(None).cast("long").alias("block"), "grams", "counts").unionByName(ask)
-    ask = ask.repartition(shards, "shard").sortWithinPartitions("shard", F.col("block").asc_nulls_first())
+    ask = ask.withColumn("salt", F.pmod(F.xxhash64("block"), F.lit(salts)))
+    copies = counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).select("shard", F.lit(None).cast("long").alias("block"), "grams", "counts", F.col("salt").cast("long"))
+    ask = copies.unionByName(ask).repartition(shards, "shard", "salt").sortWithinPartitions("shard", "salt", F.col("block").asc_nulls_first())
     got = ask.mapInArrow(_answer(ds, p2), "block long, shard int, lp binary").groupBy("block").agg(F.collect_list(F.struct("shard", "lp")).alias("answers"))
     j = blocks.join(got.hint("shuffle_hash"), "block", "left").select("packed", "lens", "meta", F.coalesce("answers", F.array().cast("array<struct<shard:int,lp:binary>>")).alias("answers"))
     return j.mapInArrow(_score(shards), "doc_id long, lang string, trusted boolean, n_bytes long, perplexity double")
