@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import sys
 import uuid
@@ -52,12 +53,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """Tables written in the shared folder to cut lineage; removed with close()."""
+    """Tables written in the shared folder to cut lineage; removed with close(), at the latest when Python ends."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.path = f"{shared_dir(spark)}/weftline-{uuid.uuid4().hex}"
         self.n = 0
+        atexit.register(self._leave)  # results are lazy, so the tables stay as long as the session may read them
 
     def save(self, df: DataFrame, name: str = "t") -> DataFrame:
         self.n += 1
@@ -65,6 +67,12 @@ class Scratch:
         df.write.mode("overwrite").parquet(p)
         return self.spark.read.schema(df.schema).parquet(p)
 
+    def _leave(self) -> None:
+        try:
+            self.close()
+        except Exception:  # noqa: BLE001 - the session is gone already
+            pass
+
     def close(self) -> None:
         hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
