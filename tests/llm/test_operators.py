@@ -29,7 +29,7 @@ def by_id(df, *cols):
     return out
 
 
-# ------------------------------------------------------------------ shared primitives
+# ---- shared primitives
 
 
 @given(st.lists(st.text(max_size=30), max_size=12))
@@ -56,7 +56,7 @@ def test_packed_numbers(v):
     assert C.unpack40(C.pack40(a.astype(np.uint64))).tolist() == v
 
 
-# ------------------------------------------------------------------ 1 line dedup
+# ---- 1 line dedup
 
 
 def brute_lines(rows, min_sites=line_dedup.MIN_SITES, most=line_dedup.MAX_LINE_CHARS):
@@ -89,7 +89,7 @@ def test_line_dedup(spark):
     assert set(d.columns) <= set(out.columns) and line_dedup.remove_boilerplate(d).columns != [] and line_dedup.remove_boilerplate(d).count() == len(rows)
 
 
-# ------------------------------------------------------------------ 2 suffix-array dedup
+# ---- 2 suffix-array dedup
 
 
 def brute_repeats(rows, n=200):
@@ -133,7 +133,7 @@ def test_suffix_dedup_shifted_and_periodic(spark):
     assert sorted(map(tuple, suffix_dedup.remove_repeats(d).collect())) == brute_repeats(rows)
 
 
-# ------------------------------------------------------------------ 3 quality classifier
+# ---- 3 quality classifier
 
 
 def brute_kn(texts, queries):
@@ -210,7 +210,7 @@ def test_perplexity_tells_junk(spark):
     assert all(kept[i][0] for i in range(60)) and not any(kept[i][0] for i in range(60, 70))
 
 
-# ------------------------------------------------------------------ 4 benchmark decontamination
+# ---- 4 benchmark decontamination
 
 
 def edit_search(p, t):
@@ -266,7 +266,7 @@ def test_decontaminate(spark, texts, none):
     assert decontaminate.find_leaks(none, bench).count() == 0 and decontaminate.find_leaks(d, bench.limit(0)).count() == 0
 
 
-# ------------------------------------------------------------------ 5 and 8 tokens, packing
+# ---- 5 and 8 tokens, packing
 
 
 @pytest.fixture(scope="module")
@@ -342,7 +342,7 @@ def test_packing(docs, texts, none):
     assert struct.pack("<I", 5) == np.array([5], "<u4").tobytes()
 
 
-# ------------------------------------------------------------------ 6 PII
+# ---- 6 PII
 
 BASE = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -448,7 +448,7 @@ def test_find_pii(spark, docs, texts, none, model):
     assert pii.find_pii(none, model).count() == 0
 
 
-# ------------------------------------------------------------------ 7 n-gram Jaccard join
+# ---- 7 n-gram Jaccard join
 
 
 def brute_jaccard(texts):
@@ -517,7 +517,7 @@ def test_components_in_rounds_equal_one_task(spark):
     assert one == many and len(one) > 200
 
 
-# ------------------------------------------------------------------ 9 quality rules
+# ---- 9 quality rules
 
 
 def brute_rules(t):
@@ -559,7 +559,7 @@ def test_order_of_rules_does_not_matter(order):
     assert kept.tolist() == want.tolist()
 
 
-# ------------------------------------------------------------------ 10 license scans
+# ---- 10 license scans
 
 
 def brute_base(t):
@@ -617,7 +617,7 @@ def test_fuzzy_search_finds_every_edit_within_budget():
             assert (label in got) or not regex.search(f"(?:{regex.escape(t)}){{e<={licenses.budget(len(t))}}}", norm)
 
 
-# ------------------------------------------------------------------ extra columns stay
+# ---- extra columns stay
 
 
 def test_unrelated_columns_do_not_matter(docs):

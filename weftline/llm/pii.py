@@ -32,7 +32,7 @@ KINDS = ("email", "ip", "card", "phone")
 HIDDEN, WINDOW, OVERLAP = 6, 256, 48
 F32 = np.float32
 
-# ---------------------------------------------------------------- base rules
+# ---- base rules
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
@@ -84,7 +84,7 @@ def base_spans(t: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda x: (x[0], KINDS.index(x[2])))
 
 
-# ---------------------------------------------------------------- labelled spans
+# ---- labelled spans
 
 _SINGLE = "@.+-()_%/:,=\"| \n[]"
 #: Classes of characters: 0 pads, then digits, a-f, g-z, A-Z, white space and marks of their own, others.
@@ -159,7 +159,7 @@ def labelled(lines: list[str], n: int, size: int = 96, seed: int = 7) -> tuple[n
     return x, y
 
 
-# ---------------------------------------------------------------- the model
+# ---- the model
 
 _K = 1 + len(KINDS)
 #: A path may enter a kind from outside, stay and leave; kinds never touch.
@@ -386,7 +386,7 @@ def tag(p: dict[str, np.ndarray], cls: np.ndarray, off: np.ndarray, window: int
     return out
 
 
-# ---------------------------------------------------------------- spans of documents
+# ---- spans of documents
 
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
