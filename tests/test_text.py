@@ -33,17 +33,14 @@ def test_policy_fields(spark):
 
 
 def python_summary(t, limit=400):
-    out, used = [], 0
-    for line in t.split("\n"):
-        s = line.strip(" ")
-        if not s or s.startswith("#"):
-            continue
-        if used + len(s) > limit:
-            out.append(s[: limit - used])
+    lines = [x for x in (y.strip(" ") for y in t.split("\n")) if x and x[0] != "#"]
+    text, room = [], limit
+    for x in lines:
+        text.append(x[:room])
+        if len(x) > room:
             break
-        out.append(s)
-        used += len(s) + 1
-    return " ".join(out).strip(" ")
+        room -= len(x) + 1
+    return " ".join(text).strip(" ")
 
 
 @given(st.lists(st.text(alphabet="ab# ", max_size=30), max_size=8))

@@ -11,7 +11,7 @@ from pyspark.sql.types import DoubleType
 
 from weftline.dims import STOP_WORDS
 
-_SUFFIXES = "inc|llc|ltd|gmbh|corporation|corp|company|co|group|holdings?|partners?|associates|sa|ag|plc|pvt|pte|kgaa"
+_SUFFIXES = "ag|associates|company|corporation|corp|co|gmbh|group|holdings?|inc|kgaa|llc|ltd|partners?|plc|pte|pvt|sa"
 _UNITS = "apartment|apt|suite|ste|unit|box|psc"
 CATEGORIES = (
     ("Data & Privacy", "data|privacy|gdpr"),
@@ -60,7 +60,7 @@ def address(c: Column) -> Column:
 
 
 def zip_code(c: Column) -> Column:
-    return blank_to_null(F.regexp_extract(c.cast("string"), "\\b(\\d{5})(-\\d{4})?\\b", 1))
+    return blank_to_null(F.regexp_extract(c.cast("string"), "(?<!\\w)([0-9]{5})(?:-[0-9]{4})?(?!\\w)", 1))
 
 
 def phone(c: Column) -> Column:
@@ -132,10 +132,10 @@ def classify(value: Column) -> Column:
     s = F.trim(value)
     return (
         F.when(value.isNull() | (value == ""), "null")
-        .when(s.rlike("(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"), "uuid")
+        .when(s.rlike("^\\p{XDigit}{8}(-\\p{XDigit}{4}){3}-\\p{XDigit}{12}$"), "uuid")
         .when(s.rlike("(?i)^[a-z]+_\\d{3,}$"), "prefixed_id")
-        .when(s.rlike("^[^@\\s]+@[^@\\s]+\\.[^@\\s]+$"), "email")
-        .when(s.rlike("^\\d{4}-\\d{2}-\\d{2}"), "date")
+        .when(s.rlike("^[^\\s@]+@[^\\s@]+[.][^\\s@]+$"), "email")
+        .when(s.rlike("^[0-9]{4}(-[0-9]{2}){2}"), "date")
         .when(s.rlike("^[a-z]{3,8}$"), "short_code")
         .when(s.rlike("^\\d+$"), "numeric_string")
         .otherwise("string")
@@ -182,7 +182,7 @@ def age_label(now: Column, then: Column) -> Column:
 
 def amount(c: Column) -> tuple[Column, Column]:
     """(currency, number) of a text that begins with a currency mark."""
-    rx = "^\\s*([A-Z]{2,3}|[€$£¥])\\s*([0-9][0-9,]*(?:\\.[0-9]+)?)"
+    rx = "^\\s*([€$£¥]|[A-Z]{2,3})\\s*([0-9][0-9,]*(?:\\.[0-9]+)?)"
     return blank_to_null(F.regexp_extract(c, rx, 1)), F.regexp_replace(F.regexp_extract(c, rx, 2), ",", "").try_cast("double")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from weftline.dims import ACTIONS, RISK_THRESHOLD, lookup
 from weftline.functions import text as T
 
-# ---------------------------------------------------------------- detector
+# ---- detector
 
 
 def signature_mismatch(sender: Column, signature: Column) -> Column:
@@ -35,7 +35,7 @@ def name_inconsistencies(emails: DataFrame, names: DataFrame, least: int = 2, to
     return totals.join(best, "sender")
 
 
-# ---------------------------------------------------------------- risk
+# ---- risk
 
 
 def action_of(decision: Column, same_type: Column) -> Column:
@@ -81,10 +81,10 @@ def percentiles(d: DataFrame, value: str = "risk") -> DataFrame:
     return h.agg(at(F.floor(all_ / 2)).alias("p50"), at(F.least(all_ - 1, F.floor(all_ * 0.95))).alias("p95"), F.max("v").alias("max"))
 
 
-# ---------------------------------------------------------------- proposals
+# ---- proposals
 
-_MATCH_MENU = ("merge_nodes", "upgrade_to_auto_linked", "remove_same_as_edges", "no_action", "investigate_further")
-_NAME_MENU = ("mark_alias", "mark_shared_mailbox", "flag_email_reassignment", "no_action", "investigate_further")
+_MATCH_MENU = tuple("merge_nodes upgrade_to_auto_linked remove_same_as_edges no_action investigate_further".split())
+_NAME_MENU = tuple("mark_alias mark_shared_mailbox flag_email_reassignment no_action investigate_further".split())
 
 
 def alternatives(action: Column, same_type: Column, about_names: Column) -> Column:
@@ -122,7 +122,7 @@ def pending(proposals: DataFrame) -> DataFrame:
     return proposals.where(F.col("kind") == "pending_confirmation")
 
 
-# ---------------------------------------------------------------- applying
+# ---- applying
 
 
 def headline(members: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ class ContextGraph:
     nodes: DataFrame
     edges: DataFrame
 
-    # ------------------------------------------------------------ single lookups
+    # ---- single lookups
 
     def node(self, node_id: str) -> DataFrame:
         return self.nodes.where(F.col("node_id") == node_id)
@@ -49,7 +49,7 @@ class ContextGraph:
     def degree(self) -> DataFrame:
         return self.both_ways().groupBy("node_id").agg(F.count("*").alias("degree"))
 
-    # ------------------------------------------------------------ statistics
+    # ---- statistics
 
     def nodes_by_type(self) -> DataFrame:
         return self.nodes.groupBy("node_type").agg(F.count("*").alias("n"))
@@ -65,14 +65,14 @@ class ContextGraph:
         out = out.unionByName(by(self.nodes, "nodes_by_type", "node_type")).unionByName(by(self.edges, "edges_by_rel", "rel_type"))
         return out.unionByName(by(conflicts, "conflicts", "status")) if conflicts is not None else out
 
-    # ------------------------------------------------------------ search and walks
+    # ---- search and walks
 
     def substring_search(self, text: str, limit: int = 20) -> DataFrame:
         """The first nodes, in order of arrival, whose search text contains the words."""
         hit = F.contains(F.lower("text"), F.lit(text.lower()))
         return self.nodes.where(hit).orderBy("ord", "node_id").limit(max(limit, 1))
 
-    def related(self, start: str, hops: int = 1, limit: int = 6) -> DataFrame:
+    def related(self, start: str, *, hops: int = 1, limit: int = 6) -> DataFrame:
         """Breadth-first: (node_id, depth, rank), out-edges before in-edges, each node once, at most `limit`.
 
         Each hop keeps at most `limit` nodes: later ones can't reach the result, and neither can their neighbours.

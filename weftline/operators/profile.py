@@ -51,7 +51,7 @@ def profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 def keys(p: DataFrame) -> DataFrame:
     """The profile with is_key and is_foreign."""
-    name_id = F.col("field").rlike("(?i)(^|_)(id|key|uuid)$|^id$")
+    name_id = F.col("field").rlike("(?i)(?:^|_)(?:uuid|key|id)$")
     typed = F.col("dominant").isin("uuid", "prefixed_id", "short_code", "integer")
     unique = (F.col("uniqueness") >= 0.99) & (F.col("n_non_null") > 1)
     name_fk = F.col("field").rlike("(?i)_id$|_uuid$|_key$")

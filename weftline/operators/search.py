@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from weftline.dims import STOP_WORDS, TYPE_HINTS
 from weftline.functions import text as T
 
-ROUTES = (r"\bemp[_-]?\d+\b", r"\b[a-z]+:\S+\b", r"\bcustomer[_-]?[a-z0-9]+\b")
+ROUTES = ("\\bemp(?:-|_)?[0-9]+\\b", "\\b[a-z]+[:]\\S+\\b", "\\bcustomer(?:-|_)?[0-9a-z]+\\b")
 MODES = ("auto", "graph", "vector", "hybrid")
 
 
@@ -134,7 +134,7 @@ class Index:
         self.w = weighted(self.posts, self.idf)
         self.norms = norms(docs, self.w)
 
-    def search(self, query: str, mode: str = "hybrid", k: int = 5, node_type: str | None = None) -> DataFrame:
+    def search(self, query: str, mode: str = MODES[-1], k: int = 5, node_type: str | None = None) -> DataFrame:
         if mode not in MODES:
             raise ValueError(f"mode must be one of {', '.join(MODES)}")
         if mode == "auto":

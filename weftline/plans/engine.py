@@ -6,8 +6,8 @@ the fold of the feed.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
-from typing import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F

@@ -34,7 +34,7 @@ def query(sql: str | None = None):
     return put
 
 
-# ---------------------------------------------------------------- the graph, in SQL
+# ---- the graph, in SQL
 
 NODES = """nodes AS (
  SELECT 'Customer:' || c_custkey AS node_id, 'Customer' AS node_type, c_custkey::BIGINT AS ord, c_name AS title, c_mktsegment AS summary FROM customer
@@ -57,7 +57,7 @@ def _g(spark: SparkSession, d: str) -> ContextGraph:
     return testdata.graph(spark, d)
 
 
-# ---------------------------------------------------------------- graph lookups
+# ---- graph lookups
 
 
 @query(f"WITH {NODES} SELECT node_type, count(*) AS n FROM nodes GROUP BY 1")
@@ -151,7 +151,7 @@ def q_link_strength(spark, d):
     return g.link_strength(g.layers(_focus(spark)))
 
 
-# ---------------------------------------------------------------- views
+# ---- views
 
 _HISTORY = """last AS (SELECT *, count(*) OVER (PARTITION BY o_custkey) AS n_sales, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS rn FROM orders),
  first_item AS (SELECT l_orderkey, min({'ord': l_linenumber::BIGINT, 'product': l_partkey}) AS i FROM lineitem GROUP BY 1)"""
@@ -258,7 +258,7 @@ def q_dir_root(spark, d):
     return views.root_listing(_g(spark, d).nodes_by_type(), dims.SECTIONS)
 
 
-# ---------------------------------------------------------------- upserts
+# ---- upserts
 
 _AUTH, _CANON = (lambda c: dims.sql_case(dims.AUTHORITY, c, "0")), (lambda c: dims.sql_case(dims.CANONICAL, c))
 _SOURCES = "[" + ", ".join(f"'{s}'" for s in testdata.FEED_SOURCES) + "]"
@@ -325,11 +325,11 @@ def q_auto_resolve_matrix(spark, d):
     return m.withColumn("v", upsert.verdict(F.col("existing_source"), F.col("new_source"), F.col("node_type"))).select("existing_source", "new_source", "node_type", "v.status", "v.winner")
 
 
-# ---------------------------------------------------------------- scalar functions
+# ---- scalar functions
 
 
 @query("""WITH x AS (SELECT doc_id, substring(text, 1, 60) AS s FROM documents), y AS (SELECT doc_id, s, lower('The ' || s || ', Inc. & Partner GmbH') AS n, lower(s || ' Apt. 4b, 12345-6789 Suite 9') AS a FROM x)
- SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(n, '\\b(inc|llc|ltd|gmbh|corporation|corp|company|co|group|holdings?|partners?|associates|sa|ag|plc|pvt|pte|kgaa)\\b\\.?', '', 'g'), '[^a-z0-9 ]', '', 'g'), ' +', ' ', 'g')) AS business,
+ SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(n, '\\b(ag|associates|company|corporation|corp|co|gmbh|group|holdings?|inc|kgaa|llc|ltd|partners?|plc|pte|pvt|sa)\\b\\.?', '', 'g'), '[^a-z0-9 ]', '', 'g'), ' +', ' ', 'g')) AS business,
  trim(regexp_replace(regexp_replace(regexp_replace(a, '\\b(apartment|apt|suite|ste|unit|box|psc)\\.?\\s*[\\w-]+', '', 'g'), '[^a-z0-9 ]', '', 'g'), ' +', ' ', 'g')) AS address,
  '12345' AS zip, right('1325555' || (doc_id % 1000 + 1000), 10) AS phone, 'u' || doc_id || '@ex.org' AS email, '1299' || doc_id AS price FROM y WHERE regexp_full_match(s, '[\\x00-\\x7F]*')""")
 def q_normalise_text(spark, d):
@@ -371,7 +371,7 @@ def q_tokenise(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(t).cast("long").alias("n_tokens"), F.size(F.array_distinct(t)).cast("long").alias("n_distinct"))
 
 
-# ---------------------------------------------------------------- entity resolution
+# ---- entity resolution
 
 
 def _org(spark, d) -> DataFrame:
@@ -479,7 +479,7 @@ def q_merge_conflicts(spark, d):
     return resolve.merge_properties(facts, _merged(spark, d))[1].select("node_id", "key", "existing_value", "merged_value", "merged_from")
 
 
-# ---------------------------------------------------------------- detector, risk, proposals
+# ---- detector, risk, proposals
 
 
 def _signed(spark, d) -> tuple[DataFrame, DataFrame]:
@@ -559,7 +559,7 @@ def q_apply_actions(spark, d):
     return decisions.apply_status(c, a.where("action <> 'no_action' and id % 4 = 0").select(F.col("id").alias("conflict_ix"), "action"))
 
 
-# ---------------------------------------------------------------- retrieval
+# ---- retrieval
 
 _QUERY = "customer policy of thon ernt the handhe ering"
 
@@ -623,7 +623,7 @@ def q_hybrid_topk(spark, d):
     return search.top_k(s.withColumn("score", F.round("score", 6)), "score", 10)
 
 
-@query(f"""SELECT doc_id, CASE WHEN regexp_matches(q, '\\bemp[_-]?\\d+\\b') OR regexp_matches(q, '\\b[a-z]+:\\S+\\b') OR regexp_matches(q, '\\bcustomer[_-]?[a-z0-9]+\\b') OR len(t) <= 2 THEN 'graph'
+@query(f"""SELECT doc_id, CASE WHEN regexp_matches(q, '\\bemp(?:-|_)?[0-9]+\\b') OR regexp_matches(q, '\\b[a-z]+:\\S+\\b') OR regexp_matches(q, '\\bcustomer(?:-|_)?[0-9a-z]+\\b') OR len(t) <= 2 THEN 'graph'
  WHEN len(t) >= 7 THEN 'hybrid' WHEN list_has_any(t, ['about', 'like', 'overview', 'similar']) THEN 'vector' ELSE 'hybrid' END AS mode
  FROM (SELECT doc_id, q, {_TOK.replace('text', 'q')} AS t FROM (SELECT doc_id, lower(array_to_string(string_split(regexp_replace(text, '[^A-Za-z ]', '', 'g'), ' ')[1:(doc_id % 9 + 1)::BIGINT], ' ') || CASE WHEN doc_id % 4 = 0 THEN ' overview' WHEN doc_id % 7 = 0 THEN ' emp_0431' ELSE '' END) AS q FROM documents))""")
 def q_route_modes(spark, d):
@@ -641,7 +641,7 @@ def q_evidence(spark, d):
     return search.evidence(f, "steel brand red").withColumn("rn", F.col("rn").cast("long"))
 
 
-# ---------------------------------------------------------------- profiling
+# ---- profiling
 
 _PROFILE = """cells AS (SELECT 'o_orderkey' AS field, o_orderkey::VARCHAR AS value, 'integer' AS kind FROM orders UNION ALL SELECT 'o_custkey', o_custkey::VARCHAR, 'integer' FROM orders
  UNION ALL SELECT 'o_orderstatus', o_orderstatus, 'string' FROM orders UNION ALL SELECT 'o_orderpriority', o_orderpriority, 'string' FROM orders),
@@ -654,7 +654,7 @@ def q_column_profile(spark, d):
     return profile.profile(table(spark, d, "orders").select(*_FIELDS))
 
 
-@query(f"""WITH {_PROFILE} SELECT field, (regexp_matches(lower(field), '(^|_)(id|key|uuid)$|^id$') OR dominant = 'integer') AND uniqueness >= 0.99 AND n_non_null > 1 AS is_key,
+@query(f"""WITH {_PROFILE} SELECT field, (regexp_matches(lower(field), '(?:^|_)(?:uuid|key|id)$') OR dominant = 'integer') AND uniqueness >= 0.99 AND n_non_null > 1 AS is_key,
  regexp_matches(lower(field), '_id$|_uuid$|_key$') AND uniqueness < 0.95 AND n_non_null > 1 AS is_foreign FROM p""")
 def q_pk_fk_candidates(spark, d):
     return profile.keys(profile.profile(table(spark, d, "orders").select(*_FIELDS))).select("field", "is_key", "is_foreign")
@@ -670,7 +670,7 @@ def q_cross_file_links(spark, d):
     return profile.cross_links({t: table(spark, d, t) for t in ("orders", "customer", "lineitem", "part", "nation", "supplier")}, _LINKS)
 
 
-# ---------------------------------------------------------------- review
+# ---- review
 
 
 def _conflicts(spark, d) -> DataFrame:
@@ -705,7 +705,7 @@ def q_field_diff(spark, d):
     return review.field_diff(x, "a", "b").select("id", "diff_kind", "delta", "warn")
 
 
-# ---------------------------------------------------------------- streaming
+# ---- streaming
 
 
 @query()

@@ -65,7 +65,7 @@ def import_graph_json(spark: SparkSession, path: str) -> ContextGraph:
     d = spark.read.option("multiLine", True).schema(schema).json(path)
     n = d.select(F.posexplode("nodes").alias("ord", "n")).select(
         F.col("n.id").alias("node_id"), F.col("n.type").alias("node_type"), F.col("ord").cast("long").alias("ord"),
-        F.coalesce(*[F.try_element_at("n.properties", F.lit(k)) for k in ("name", "business_name", "subject", "issue", "title", "summary")], F.col("n.id")).alias("title"),
+        F.coalesce(*[F.try_element_at("n.properties", F.lit(k)) for k in "name business_name subject issue title summary".split()], F.col("n.id")).alias("title"),
         F.array_join(F.map_values("n.properties"), " ").alias("text"), F.col("n.properties").alias("properties"),
     )
     e = d.select(F.posexplode("edges").alias("ord", "e")).select(F.col("e.source").alias("src"), F.col("e.target").alias("dst"), F.col("e.rel_type").alias("rel_type"), F.col("ord").cast("long").alias("ord"))
