@@ -75,24 +75,23 @@ class ContextGraph:
     def related(self, start: str, *, hops: int = 1, limit: int = 6) -> DataFrame:
         """Breadth-first: (node_id, depth, rank), out-edges before in-edges, each node once, at most `limit`.
 
-        Each hop keeps at most `limit` nodes: later ones can't reach the result, and neither can their neighbours.
+        The driver holds the walk, at most `limit` nodes. Each hop names its nodes as literals, a filter that
+        reaches below the edges' deduplication, so only the edges at hand are shuffled.
         """
-        spark = self.nodes.sparkSession
         walk = self.both_ways().withColumn("way", F.when(F.col("direction") == "outgoing", 0).otherwise(1))
-        seen = spark.createDataFrame([(start, 0, 0)], "node_id string, depth int, rank int")
-        front = seen
+        found: list[tuple[str, int, int]] = []
+        front = {start: 0}
         for depth in range(1, hops + 1):
-            f = front.select(F.col("node_id").alias("_from"), F.col("rank").alias("_rank"))
-            step = walk.join(F.broadcast(f), F.col("node_id") == F.col("_from"))  # at most `limit` rows
-            step = step.join(F.broadcast(seen.select(F.col("node_id").alias("other"))), "other", "left_anti")
-            first = step.groupBy("other").agg(F.min(F.struct("_rank", "way", "ord", "rel_type")).alias("o"))
-            got = first.orderBy("o", "other").limit(limit)
-            base = seen.agg(F.max("rank").alias("base"))
-            w = Window.orderBy("o", "other")
-            got = got.withColumn("_n", F.row_number().over(w)).join(F.broadcast(base))
-            front = got.select(F.col("other").alias("node_id"), F.lit(depth).alias("depth"), (F.col("base") + F.col("_n")).cast("int").alias("rank"))
-            seen = seen.unionByName(front)
-        return seen.where((F.col("depth") > 0) & (F.col("rank") <= limit))
+            left = limit - len(found)
+            if left <= 0 or not front:
+                break
+            place = F.create_map(*[F.lit(x) for kv in front.items() for x in kv])[F.col("node_id")]
+            step = walk.where(F.col("node_id").isin(*front) & ~F.col("other").isin(start, *(n for n, _, _ in found)))
+            first = step.groupBy("other").agg(F.min(F.struct(place.alias("p"), "way", "ord", "rel_type")).alias("o"))
+            got = [r["other"] for r in first.orderBy("o", "other").limit(left).collect()]
+            front = {n: len(found) + i for i, n in enumerate(got, 1)}
+            found += [(n, depth, r) for n, r in front.items()]
+        return self.nodes.sparkSession.createDataFrame(found, "node_id string, depth int, rank int")
 
     def layers(self, focus: DataFrame, scenario: DataFrame | None = None) -> DataFrame:
         """(node_id, layer): core, direct (one hop, or named), context (two hops), ambient; edges count both ways."""
