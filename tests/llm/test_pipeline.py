@@ -51,6 +51,13 @@ def test_every_stage(spark, folder):
     assert {r.doc_id for r in whole.select("doc_id").collect()} == set(cur) and 0 < len(cur) < len(rows)
 
 
+def test_long_lines_are_boilerplate(spark):
+    long = "we use cookies to make this page work and " * 12
+    d = spark.createDataFrame([(i, f"own words of page {i} " * 40 + "\n" + long, "en", f"site{i}", 0) for i in range(8)], "doc_id long, text string, lang string, source string, n_chars long")
+    out = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.lines(spark, d, "").collect()}
+    assert out == {i: (t := f"own words of page {i} " * 40, len(t)) for i in range(8)}
+
+
 def test_empty_tables(spark, tmp_path):
     for t in ("documents", "benchmark"):
         spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")

@@ -7,6 +7,9 @@ seen on at least `min_sites` sites is boilerplate and leaves every document, unl
 hold more than half of the document's code points: then the document as a whole is a copy, which is for
 near-duplicate removal to judge, and it stays as it is.
 
+With `max_line_chars` None, as in the pipeline, lines of any length count and spread over sites alone
+decides. The query op1_line_dedup keeps the bound, which its SQL states too.
+
 Defined results: null text counts as empty text; a null source is a site of its own; lines without a
 word and lines longer than `max_line_chars` code points are never boilerplate; a document may end up
 with empty text but never disappears; an empty table gives no rows; other columns pass through, whatever
@@ -17,7 +20,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.runtime import table
@@ -34,13 +37,19 @@ def _packed(docs: DataFrame) -> DataFrame:
     )
 
 
-def _lines(d: DataFrame, max_line_chars: int, *keep: str) -> DataFrame:
+def _eligible(line: Column, max_line_chars: int | None) -> Column:
+    """Whether a line can be boilerplate at all."""
+    word = line.rlike(_WORD)
+    return word if max_line_chars is None else (F.length(line) <= max_line_chars) & word
+
+
+def _lines(d: DataFrame, max_line_chars: int | None, *keep: str) -> DataFrame:
     d = d.select(*keep, F.explode(F.split("t", "\n", -1)).alias("line"))
-    d = d.where((F.length("line") <= max_line_chars) & F.col("line").rlike(_WORD))
+    d = d.where(_eligible(F.col("line"), max_line_chars))
     return d.select(*keep, F.xxhash64("line").alias("h1"), F.crc32(F.encode("line", "UTF-8")).alias("h2"))
 
 
-def _boilerplate(d: DataFrame, min_sites: int, max_line_chars: int, lg_k: int) -> DataFrame:
+def _boilerplate(d: DataFrame, min_sites: int, max_line_chars: int | None, lg_k: int) -> DataFrame:
     lines = _lines(d, max_line_chars, "site")
     est = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.hll_sketch_estimate(F.hll_sketch_agg("site", lg_k)).alias("est"))
     est = est.where(F.col("n") >= min_sites)
@@ -51,12 +60,12 @@ def _boilerplate(d: DataFrame, min_sites: int, max_line_chars: int, lg_k: int) -
     return sure.unionByName(exact)
 
 
-def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, max_line_chars: int = MAX_LINE_CHARS, lg_k: int = LG_K) -> DataFrame:
+def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, max_line_chars: int | None = MAX_LINE_CHARS, lg_k: int = LG_K) -> DataFrame:
     """Keys (h1, h2) of the lines that at least min_sites sites show."""
     return _boilerplate(_packed(docs), min_sites, max_line_chars, lg_k)
 
 
-def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, max_line_chars: int = MAX_LINE_CHARS, counts: bool = False, lg_k: int = LG_K) -> DataFrame:
+def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, max_line_chars: int | None = MAX_LINE_CHARS, counts: bool = False, lg_k: int = LG_K) -> DataFrame:
     """The documents with boilerplate lines taken out of `text`; with counts=True also _n_lines, _n_removed."""
     d = _packed(docs)
     keys = _boilerplate(d, min_sites, max_line_chars, lg_k)
@@ -65,7 +74,7 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, max_line_cha
     hits = hits.groupBy(F.col("id").alias("hid")).agg(F.collect_set(F.struct("h1", "h2")).alias("found"))
     j = d.join(hits.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("hid")), "left")
     ls = F.split("t", "\n", -1)
-    gone = lambda x: (F.length(x) <= max_line_chars) & x.rlike(_WORD) & F.array_contains("found", F.struct(F.xxhash64(x).alias("h1"), F.crc32(F.encode(x, "UTF-8")).alias("h2")))
+    gone = lambda x: _eligible(x, max_line_chars) & F.array_contains("found", F.struct(F.xxhash64(x).alias("h1"), F.crc32(F.encode(x, "UTF-8")).alias("h2")))
     j = j.withColumn("kept", F.when(F.col("found").isNotNull(), F.filter(ls, lambda x: ~gone(x))))
     lost = F.aggregate(ls, F.lit(0), lambda a, x: a + F.length(x)) - F.aggregate("kept", F.lit(0), lambda a, x: a + F.length(x))
     act = F.col("kept").isNotNull() & (F.size("kept") < F.size(ls)) & (2 * lost <= F.length("t"))
