@@ -14,10 +14,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cross-site boilerplate lines of any length leave the texts; n_chars follows."""
+    """Cross-site boilerplate lines of any length and share leave the texts; n_chars follows."""
     from pyspark.sql import functions as F
 
-    out = line_dedup.remove_boilerplate(docs, max_line_chars=None)
+    out = line_dedup.remove_boilerplate(docs, max_line_chars=None, spare_copies=False)
     if "n_chars" in out.columns:
         out = out.withColumn("n_chars", F.length(F.coalesce("text", F.lit(""))).cast(docs.schema["n_chars"].dataType))
     return out.select(docs.columns)

@@ -58,6 +58,12 @@ def test_long_lines_are_boilerplate(spark):
     assert out == {i: (t := f"own words of page {i} " * 40, len(t)) for i in range(8)}
 
 
+def test_boilerplate_goes_whatever_its_share(spark):
+    d = spark.createDataFrame([(i, "a banner on every page\n" * 3 + f"page {i}", "en", f"site{i}", 0) for i in range(8)] + [(8, "a banner on every page", "en", "site8", 22)], "doc_id long, text string, lang string, source string, n_chars long")
+    out = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.lines(spark, d, "").collect()}
+    assert out == {i: (f"page {i}", 6) for i in range(8)} | {8: ("", 0)}
+
+
 def test_empty_tables(spark, tmp_path):
     for t in ("documents", "benchmark"):
         spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")

@@ -3,12 +3,11 @@
 Lines are keyed by hash. A HyperLogLog sketch of the sites (column `source`) that show a line is merged
 by aggregation, so a line that a third of all rows carry costs one sketch per map task. Lines whose
 estimate is near the threshold get an exact distinct count; the others are decided by the sketch. A line
-seen on at least `min_sites` sites is boilerplate and leaves every document, unless the boilerplate lines
-hold more than half of the document's code points: then the document as a whole is a copy, which is for
-near-duplicate removal to judge, and it stays as it is.
+seen on at least `min_sites` sites is boilerplate and leaves every document. With `spare_copies`, a document
+of whose code points boilerplate lines hold more than half counts as a copy as a whole and stays as it is.
 
-With `max_line_chars` None, as in the pipeline, lines of any length count and spread over sites alone
-decides. The query op1_line_dedup keeps the bound, which its SQL states too.
+With `max_line_chars` None and without `spare_copies`, as in the pipeline, lines of any length and share
+count and spread over sites alone decides. The query op1_line_dedup keeps both, which its SQL states too.
 
 Defined results: null text counts as empty text; a null source is a site of its own; lines without a
 word and lines longer than `max_line_chars` code points are never boilerplate; a document may end up
@@ -65,7 +64,7 @@ def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, max_line_chars: int
     return _boilerplate(_packed(docs), min_sites, max_line_chars, lg_k)
 
 
-def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, max_line_chars: int | None = MAX_LINE_CHARS, counts: bool = False, lg_k: int = LG_K) -> DataFrame:
+def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, max_line_chars: int | None = MAX_LINE_CHARS, counts: bool = False, lg_k: int = LG_K, spare_copies: bool = True) -> DataFrame:
     """The documents with boilerplate lines taken out of `text`; with counts=True also _n_lines, _n_removed."""
     d = _packed(docs)
     keys = _boilerplate(d, min_sites, max_line_chars, lg_k)
@@ -77,7 +76,9 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, max_line_cha
     gone = lambda x: _eligible(x, max_line_chars) & F.array_contains("found", F.struct(F.xxhash64(x).alias("h1"), F.crc32(F.encode(x, "UTF-8")).alias("h2")))
     j = j.withColumn("kept", F.when(F.col("found").isNotNull(), F.filter(ls, lambda x: ~gone(x))))
     lost = F.aggregate(ls, F.lit(0), lambda a, x: a + F.length(x)) - F.aggregate("kept", F.lit(0), lambda a, x: a + F.length(x))
-    act = F.col("kept").isNotNull() & (F.size("kept") < F.size(ls)) & (2 * lost <= F.length("t"))
+    act = F.col("kept").isNotNull() & (F.size("kept") < F.size(ls))
+    if spare_copies:
+        act = act & (2 * lost <= F.length("t"))
     j = j.withColumn("act", F.coalesce(act, F.lit(False)))
     out = [F.when(F.col("act"), F.array_join("kept", "\n")).otherwise(F.col("r.text")).alias(c) if c == "text" else F.col(f"r.`{c}`").alias(c) for c in docs.columns]
     if counts:
