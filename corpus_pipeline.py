@@ -9,8 +9,16 @@ from weftline.runtime import Scratch, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that a quality rule rejects go."""
-    return quality_rules.filter_documents(docs)
+    """Documents that a quality rule rejects go; a folder without labels has no learnt rule."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        labels = table(spark, sf_dir, "labels")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        labels = None
+    return quality_rules.filter_documents(docs, labels=labels)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -559,6 +559,20 @@ def test_order_of_rules_does_not_matter(order):
     assert kept.tolist() == want.tolist()
 
 
+def test_toxic_words_are_learnt_from_labels(spark):
+    fine = lambda i: " ".join(f"{c}lang {c}{i}" for c in "abcdefghijklmnopqrst")
+    bad = lambda i: fine(i) + f" zwärkig zwärkens{'mnop'[i % 4]} Zwärker zwärk{i}"
+    rows = [(i, bad(i) if i % 2 else fine(i), "de") for i in range(100)] + [(200, bad(3), None), (201, fine(3) + " zwärkig", "de"), (202, "Zwärk zwärk", "de")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(90)] + [(None, 1, 1), (95, 0, None)], "doc_id long, quality int, toxic int")
+    assert quality_rules.toxic_terms(d, labels) == ("zwärk",)
+    assert quality_rules.toxic_terms(d, labels.where("doc_id < 38")) == ()
+    got = by_id(quality_rules.score_documents(d, labels=labels), "kept", "rejected_by")
+    assert got == {i: (False, "toxic") if i < 200 and i % 2 or i == 200 else (True, None) for i, *_ in rows if i != 202} | {202: (False, "base")}
+    assert {r.doc_id for r in quality_rules.filter_documents(d, labels=labels).collect()} == {i for i, v in got.items() if v[0]}
+    assert all(v[0] for i, v in by_id(quality_rules.score_documents(d), "kept").items() if i != 202)
+
+
 # ---- 10 license scans
 
 

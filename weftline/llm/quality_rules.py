@@ -4,6 +4,13 @@ Each rule's cost and rejection rate are estimated on a bounded sample; the rules
 rejections per second, each only on the documents that all earlier ones let through. A document's
 verdict is the conjunction of all rules, so the order changes the cost and never the result.
 
+Where a table of labels is given, a rule against toxic text is learnt from it: of each language at most
+`SAMPLE_PER_CLASS` toxic and as many clean documents, those with the least hashes of their ids, are read
+whole. Beginnings of words that many toxic documents hold and clean ones use far less often become terms;
+a document with at least two, and more than one in a hundred words, is toxic. The terms of all languages
+count in every document. A language with fewer than `MIN_TOXIC` toxic or clean documents gives no terms;
+without labels only the list of insults decides.
+
 Defined results: null text counts as empty and fails the base rule; documents of any length are read
 whole; repeated rows get a verdict each; an empty table gives no rows; other columns are ignored by
 `op9` and passed on by `filter_documents`, whatever their names.
@@ -11,14 +18,17 @@ whole; repeated rows get a verdict each; an empty table gives no rows; other col
 
 from __future__ import annotations
 
+import re
 import time
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 from typing import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.llm import common as C
@@ -40,6 +50,11 @@ INSULTS = {
     "es": "estúpido inútil perdedor escoria idiota payaso patético imbécil asqueroso basura".split(),
 }
 
+#: The sample of labelled documents that toxic terms are learnt from, by language and class.
+SAMPLE_PER_CLASS, MIN_TOXIC = 500, 20
+#: What makes a term: its length in code points, toxic documents that hold it (number, share), its rate among toxic words against clean ones.
+TERM_CHARS, TERM_DOCS, TERM_SHARE, TERM_RATIO = range(4, 13), 10, 0.2, 6
+
 
 class Slice:
     """Lazily computed views of one slice of documents; what a rule doesn't ask for is never computed."""
@@ -224,6 +239,23 @@ def _abusive(s: Slice) -> np.ndarray:
     return (n >= 2) & (200 * n > s.n_words)
 
 
+def _toxic(terms: tuple[str, ...], s: Slice) -> np.ndarray:
+    """At least two words that begin with a term, and more than one in a hundred."""
+    low = C.LOWER[s.data]
+    st, en, row = C.words(low, s.off, ~_LETTER)
+    roll, hit = C.Rolling(low), np.zeros(len(st), bool)
+    by: dict[int, list[str]] = {}
+    for t in terms:
+        by.setdefault(len(t.encode()), []).append(t)
+    for size, ts in by.items():
+        known = _insult_hashes(tuple(ts))
+        at = np.flatnonzero((en - st >= size) & ~hit)
+        h = roll(st[at], st[at] + size)
+        hit[at] = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
+    n = C.per_row(row[hit], s.n)
+    return (n >= 2) & (100 * n > s.n_words)
+
+
 @dataclass(frozen=True)
 class Rule:
     name: str
@@ -242,6 +274,62 @@ RULES = (
 )
 
 
+_LETTERS = re.compile("[a-z\u0080-\U0010ffff]+")
+_UPPER = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
+
+
+def _beginnings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (lang, toxic, piece, words, docs): word beginnings of sampled documents; the empty one stands for every word."""
+    for b in batches:
+        words, docs = Counter(), Counter()
+        for lang, toxic, text in zip(*(C.column(b, c).to_pylist() for c in ("lang", "toxic", "text"))):
+            ws = _LETTERS.findall((text or "").translate(_UPPER))
+            own = Counter(w[:n] for w in ws for n in TERM_CHARS if len(w) >= n)
+            own[""] = len(ws)
+            for p, n in own.items():
+                words[lang, toxic, p] += n
+                docs[lang, toxic, p] += 1
+        cols = list(zip(*words)) or [(), (), ()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.bool_()), pa.array(cols[2], pa.string()), pa.array(words.values(), pa.int64()), pa.array(docs.values(), pa.int64())], names=["lang", "toxic", "piece", "words", "docs"]
+        )
+
+
+def select_terms(pieces: dict[str, tuple[int, int, int, int]]) -> set[str]:
+    """Terms of one language from (toxic words, toxic documents, clean words, clean documents) by beginning; "" holds the totals."""
+    tw, td, cw, cd = pieces.get("", (0, 0, 0, 0))
+    if td < MIN_TOXIC or cd < MIN_TOXIC:
+        return set()
+    good = {p for p, (a, n, b, _) in pieces.items() if p and n >= TERM_DOCS and n >= TERM_SHARE * td and a * (cw + 1) >= TERM_RATIO * (b + 1) * tw}
+    # the longest of those that begin as many toxic words, then the shortest of those that remain
+    longest = {p for p in good if not any(q != p and q.startswith(p) and pieces[q][0] == pieces[p][0] for q in good)}
+    return {p for p in longest if not any(p[:n] in longest for n in range(TERM_CHARS[0], len(p)))}
+
+
+def toxic_terms(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> tuple[str, ...]:
+    """The terms of all languages, from a bounded sample of the labelled documents."""
+    ship_package(docs.sparkSession)
+    d = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("lang").cast("string"), F.lit("\0null")).alias("lang"), F.col("text").cast("string").alias("text"))
+    known = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("id")).agg((F.max("toxic") > 0).alias("toxic"))
+    rank = F.row_number().over(Window.partitionBy("lang", "toxic").orderBy(F.xxhash64("id"), "id"))
+    chosen = d.select("id", "lang").distinct().join(known, "id").withColumn("rank", rank).where(F.col("rank") <= per_class)
+    # at most per_class rows for each language and class
+    texts = d.join(F.broadcast(chosen.select("id", "lang", "toxic")), ["id", "lang"]).select("lang", "toxic", "text")
+    got = texts.mapInArrow(_beginnings, "lang string, toxic boolean, piece string, words long, docs long").groupBy("lang", "piece")
+    of = lambda c, k: F.coalesce(F.sum(F.when(F.col("toxic") == k, F.col(c))), F.lit(0)).alias(f"{c}{int(k)}")
+    got = got.agg(of("words", True), of("docs", True), of("words", False), of("docs", False)).where((F.col("docs1") >= TERM_DOCS) | (F.col("piece") == ""))
+    langs: dict[str, dict] = {}
+    for lang, piece, *n in got.collect():
+        langs.setdefault(lang, {})[piece] = tuple(n)
+    return tuple(sorted(set().union(*map(select_terms, langs.values()))))
+
+
+def rules_for(docs: DataFrame, labels: DataFrame | None) -> tuple[Rule, ...]:
+    """The fixed rules, and the one learnt from labels if they give any terms."""
+    terms = toxic_terms(docs, labels) if labels is not None else ()
+    return RULES + ((Rule("toxic", partial(_toxic, terms)),) if terms else ())
+
+
 def estimate_order(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_docs: int = 400) -> list[tuple[str, float, float]]:
     """(rule, seconds per document, rejected share), best first, from at most sample_docs documents.
 
@@ -280,14 +368,14 @@ def cascade(s: Slice, alive: np.ndarray, order: tuple[str, ...], rules: tuple[Ru
     return kept, why
 
 
-def _verdicts(order: tuple[str, ...]):
+def _verdicts(order: tuple[str, ...], rules: tuple[Rule, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, off in C.slices(batches):
             s = Slice(data, off)
             m = base(s)
             failed = base_failed(m)
-            kept, why = cascade(s, ~failed, order)
-            names = [RULES[i].name if i >= 0 else ("base" if f else None) for i, f in zip(why, failed)]
+            kept, why = cascade(s, ~failed, order, rules)
+            names = [rules[i].name if i >= 0 else ("base" if f else None) for i, f in zip(why, failed)]
             yield pa.RecordBatch.from_arrays(
                 [C.column(rows, "doc_id"), *(pa.array(m[k].astype(np.int64)) for k in m), pa.array(failed), pa.array(kept), pa.array(names, pa.string())],
                 names=["doc_id", *m, "base_failed", "kept", "rejected_by"],
@@ -299,14 +387,15 @@ def _verdicts(order: tuple[str, ...]):
 SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, rejected_by string"
 
 
-def score_documents(docs: DataFrame, sample_docs: int = 400) -> DataFrame:
+def score_documents(docs: DataFrame, sample_docs: int = 400, labels: DataFrame | None = None) -> DataFrame:
     """Base figures, verdict and deciding rule of every document."""
     ship_package(docs.sparkSession)
-    order = tuple(n for n, _, _ in estimate_order(docs, sample_docs=sample_docs))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_verdicts(order), SCHEMA)
+    rules = rules_for(docs, labels)
+    order = tuple(n for n, _, _ in estimate_order(docs, rules, sample_docs))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_verdicts(order, rules), SCHEMA)
 
 
-def _keep(order: tuple[str, ...]):
+def _keep(order: tuple[str, ...], rules: tuple[Rule, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, off in C.slices(batches):
             s = Slice(data, off)
@@ -315,18 +404,19 @@ def _keep(order: tuple[str, ...]):
             part = s.take(alive := np.flatnonzero(~short))
             ok = np.zeros(s.n, bool)
             ok[alive] = 100 * n_repeat_words(part) <= 20 * part.n_words
-            kept, _ = cascade(s, ok, order)
+            kept, _ = cascade(s, ok, order, rules)
             yield rows.filter(pa.array(kept))
 
     return run
 
 
-def filter_documents(docs: DataFrame, sample_docs: int = 400) -> DataFrame:
+def filter_documents(docs: DataFrame, sample_docs: int = 400, labels: DataFrame | None = None) -> DataFrame:
     """The documents that all rules let through, with all their columns."""
     ship_package(docs.sparkSession)
-    order = tuple(n for n, _, _ in estimate_order(docs, sample_docs=sample_docs))
-    return docs.mapInArrow(_keep(order), docs.schema)
+    rules = rules_for(docs, labels)
+    order = tuple(n for n, _, _ in estimate_order(docs, rules, sample_docs))
+    return docs.mapInArrow(_keep(order, rules), docs.schema)
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_documents(table(spark, sf_dir, "documents"))
+    return score_documents(table(spark, sf_dir, "documents"), labels=table(spark, sf_dir, "labels"))
