@@ -78,3 +78,24 @@ def test_tokens_equal_a_regex(spark):
 
     t = "What is The Überblick of policy_7, x-ray & 42 things?"
     assert values(spark, T.tokens, [t])[0] == [w for w in re.findall("[a-z0-9_]+", t.lower()) if w not in STOP_WORDS and len(w) > 1]
+
+
+def brute_normal(t):
+    t = t or ""
+    squeeze = lambda x: re.sub(" +", " ", re.sub("[^a-z0-9 ]", "", x)).strip()
+    business = re.sub(r"\b(inc|llc|ltd|gmbh|corp|corporation|co|company|group|holdings?|partners?|associates|sa|ag|plc|pvt|pte|kgaa)\b\.?", "", t.lower())
+    address = re.sub(r"\b(apt|suite|ste|unit|box|psc|apartment)\.?\s*[\w-]+", "", t.lower())
+    zips = re.search(r"\b([0-9]{5})(-[0-9]{4})?\b", t)
+    digits = re.sub("[^0-9]", "", t)
+    email = t.lower().strip(" ")
+    return squeeze(business), squeeze(address), zips and zips[1], digits[-10:] if len(digits) >= 7 else None, email if "@" in email else None, re.sub(r"[₹, \t\n\r\f\v]", "", t)
+
+
+def test_whole_texts_are_normalised(spark, tmp_path):
+    from weftline.plans import registry
+
+    far = "word " * 40
+    ts = [None, "", "Müller & Söhne GmbH", far + "Nord Company, Unit größe-7 é12345 Bonn 53113-1234", "éco coé Co. café", far + "Box\u00a0Ñu 5", "Straße Suite 4ñ\nÜber AG.", far + "Ä 12345é +49 30 1234567 ₹1,299", " Jö@X.org " + far]
+    spark.createDataFrame(list(enumerate(ts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: tuple(r)[1:] for r in registry.QUERIES["normalise_whole_text"](spark, str(tmp_path)).collect()}
+    assert rows == {i: brute_normal(t) for i, t in enumerate(ts)}

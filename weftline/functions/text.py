@@ -12,6 +12,8 @@ from pyspark.sql.types import DoubleType
 from weftline.dims import STOP_WORDS
 
 _SUFFIXES = "ag|associates|company|corporation|corp|co|gmbh|group|holdings?|inc|kgaa|llc|ltd|partners?|plc|pte|pvt|sa"
+#: Word characters and white space of any script; Java's own classes know only ASCII.
+_W, _S = "\\p{L}\\p{N}_", "\\s\\x1c-\\x1f\\x85\\p{Z}"
 _UNITS = "apartment|apt|suite|ste|unit|box|psc"
 CATEGORIES = (
     ("Data & Privacy", "data|privacy|gdpr"),
@@ -52,15 +54,15 @@ def _squeeze(c: Column) -> Column:
 
 def business_name(c: Column) -> Column:
     """Lower case without legal suffixes, punctuation and double spaces."""
-    return _squeeze(F.regexp_replace(F.lower(F.coalesce(c.cast("string"), F.lit(""))), f"\\b({_SUFFIXES})\\b\\.?", ""))
+    return _squeeze(F.regexp_replace(F.lower(F.coalesce(c.cast("string"), F.lit(""))), f"(?<![{_W}])({_SUFFIXES})(?![{_W}])\\.?", ""))
 
 
 def address(c: Column) -> Column:
-    return _squeeze(F.regexp_replace(F.lower(F.coalesce(c.cast("string"), F.lit(""))), f"\\b({_UNITS})\\.?\\s*[\\w-]+", ""))
+    return _squeeze(F.regexp_replace(F.lower(F.coalesce(c.cast("string"), F.lit(""))), f"(?<![{_W}])({_UNITS})\\.?[{_S}]*[{_W}-]+", ""))
 
 
 def zip_code(c: Column) -> Column:
-    return blank_to_null(F.regexp_extract(c.cast("string"), "(?<!\\w)([0-9]{5})(?:-[0-9]{4})?(?!\\w)", 1))
+    return blank_to_null(F.regexp_extract(c.cast("string"), f"(?<![{_W}])([0-9]{{5}})(?:-[0-9]{{4}})?(?![{_W}])", 1))
 
 
 def phone(c: Column) -> Column:

@@ -342,6 +342,13 @@ def q_normalise_text(spark, d):
     )
 
 
+@query()
+def q_normalise_whole_text(spark, d):
+    """The normalisers over the whole text of every document, null as empty; DuckDB's \\b and \\w know only ASCII, so there is no SQL."""
+    t = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return table(spark, d, "documents").select("doc_id", T.business_name(t).alias("business"), T.address(t).alias("address"), T.zip_code(t).alias("zip"), T.phone(t).alias("phone"), T.email(t).alias("email"), T.clean_price(t).alias("price"))
+
+
 @query("""SELECT doc_id, coalesce(nullif(trim(regexp_replace(regexp_replace(lower(f), '\\.[^.]*$', ''), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'policy') AS slug,
  CASE WHEN regexp_matches(f, 'data|privacy|gdpr') THEN 'Data & Privacy' WHEN regexp_matches(f, 'security|password|breach') THEN 'Security' WHEN regexp_matches(f, 'leave|medical') THEN 'People & HR' WHEN regexp_matches(f, 'risk') THEN 'Risk' END AS category
  FROM (SELECT doc_id, lower(lang || '_' || source || ' ' || ['Data policy', 'Password rules', 'Leave', 'Risk register', 'Other'][doc_id % 5 + 1] || '.MD') AS f FROM documents)""")
