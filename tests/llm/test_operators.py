@@ -210,6 +210,17 @@ def test_perplexity_tells_junk(spark):
     assert all(kept[i][0] for i in range(60)) and not any(kept[i][0] for i in range(60, 70))
 
 
+def test_threshold_is_the_quantile_of_unseen_documents(spark):
+    from weftline.runtime import Scratch
+
+    d = spark.createDataFrame([(i, f"some words of text {i * 7919 % 101} and {'more ' * (i % 5)}of them", "en") for i in range(60)], "doc_id long, text string, lang string")
+    ids = d.select("doc_id").where("doc_id < 40")
+    unseen = sorted(v[0] for v in by_id(quality_model.held_out(d, ids, Scratch(spark)), "perplexity").values())
+    assert len(unseen) == 40
+    got = {v[0] for v in by_id(quality_model.classify(d, ids, quantile=0.5), "threshold").values()}
+    assert len(got) == 1 and abs(math.log(got.pop() / unseen[19])) < 2e-3
+
+
 # ---- 4 benchmark decontamination
 
 

@@ -5,7 +5,8 @@ shards keyed by the two bytes before the predicted one, so that a shard holds al
 to 3; orders 2 and 1 have at most 65,536 entries and are broadcast. Each block of documents asks each
 shard for its distinct n-grams once and gets log-probabilities back in the same order; a document's
 perplexity is that of its bytes. A document is kept unless its perplexity exceeds a quantile, set for
-each language, of trusted documents' perplexities.
+each language, of trusted documents' perplexities under a model that hasn't read them: the trusted documents
+are split by id into two folds, and each is scored by the other's model.
 
 What is shuffled is one packed row for each block and shard, and each block's compressed text once.
 Trusted ids are broadcast up to `broadcast_ids`; beyond, they are joined by shuffle. Quantiles come from a
@@ -28,12 +29,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import common as C
-from weftline.runtime import Scratch, ship_package, shuffle_partitions, table
+from weftline.runtime import Scratch, release_shuffles, ship_package, shuffle_partitions, table
 
 ORDER = 5
 SHARDED = (3, 4, 5)
 BLOCK = 4 << 20
-QUANTILE, SLACK = 0.99, 1.15
+QUANTILE, FOLDS = 0.99, 2
 _MASK = {k: C.U((1 << 8 * k) - 1) for k in range(1, ORDER + 1)}
 
 
@@ -287,7 +288,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, scratch: Scratch | None =
     return j.mapInArrow(_score(shards), "doc_id long, lang string, trusted boolean, n_bytes long, perplexity double")
 
 
-def thresholds(scored: DataFrame, quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
+def thresholds(scored: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """(lang, threshold) for every language, from trusted documents' log-perplexities."""
     lang = F.coalesce("lang", F.lit("\0null")).alias("lang")
     bins = scored.where("perplexity is not null").groupBy(lang, F.floor(F.log("perplexity") * 1000).alias("bin")).agg(F.sum(F.col("trusted").cast("long")).alias("n"))
@@ -297,7 +298,7 @@ def thresholds(scored: DataFrame, quantile: float = QUANTILE, slack: float = SLA
         r = rows.groupBy(*by, "bin").agg(F.sum("n").alias("n")).groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("bin", "n"))).alias("h"), F.sum("n").alias("all"))
         need = F.ceil(F.col("all") * quantile)
         at = F.aggregate("h", F.struct(F.lit(0).cast("long").alias("c"), F.lit(None).cast("long").alias("b")), lambda a, x: F.struct((a["c"] + x["n"]).alias("c"), F.when(a["b"].isNull() & (a["c"] + x["n"] >= need), x["bin"]).otherwise(a["b"]).alias("b")))
-        return r.select(*by, (F.exp((at["b"] + 1) / 1000) * slack).alias("t"))
+        return r.select(*by, F.exp((at["b"] + 1) / 1000).alias("t"))
 
     one = cut(own.withColumn("_", F.lit(1)), "_").select(F.col("t").alias("t0"))
     langs = bins.select("lang").distinct()
@@ -305,11 +306,27 @@ def thresholds(scored: DataFrame, quantile: float = QUANTILE, slack: float = SLA
     return langs.join(cut(own, "lang"), "lang", "left").join(one.withColumn("_1", F.lit(1)), F.lit(1) == F.col("_1"), "left").select("lang", F.coalesce("t", "t0").alias("threshold"))
 
 
-def classify(docs: DataFrame, trusted: DataFrame, scratch: Scratch | None = None, quantile: float = QUANTILE, slack: float = SLACK) -> DataFrame:
+def held_out(docs: DataFrame, trusted: DataFrame, scratch: Scratch, folds: int = FOLDS, broadcast_ids: int = 1_000_000) -> DataFrame:
+    """perplexities() of the trusted documents, each by the model of the other folds."""
+    ids = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    small = F.broadcast(ids) if ids.count() <= broadcast_ids else ids
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").join(small, "doc_id", "left_semi")
+    fold = F.pmod(F.xxhash64("doc_id"), F.lit(folds))
+    out = None
+    for k in range(folds):
+        p = scratch.save(perplexities(own, ids.where(fold != k), scratch).where(fold == k), "held_out")
+        release_shuffles(docs.sparkSession)
+        out = p if out is None else out.unionByName(p)
+    return out
+
+
+def classify(docs: DataFrame, trusted: DataFrame, scratch: Scratch | None = None, quantile: float = QUANTILE) -> DataFrame:
     """(doc_id, lang, n_bytes, perplexity, threshold, kept) of every document."""
     scratch = scratch or Scratch(docs.sparkSession)
+    unseen = held_out(docs, trusted, scratch)
     s = scratch.save(perplexities(docs, trusted, scratch), "perplexities")
-    t = thresholds(s, quantile, slack).withColumnRenamed("lang", "_l")
+    flag = lambda d, x: d.select("lang", "perplexity", F.lit(x).alias("trusted"))
+    t = thresholds(flag(s, False).unionByName(flag(unseen, True)), quantile).withColumnRenamed("lang", "_l")
     j = s.join(t, F.coalesce("lang", F.lit("\0null")) == F.col("_l"), "left")
     kept = (F.col("n_bytes") > 0) & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
     return j.select("doc_id", "lang", "n_bytes", "perplexity", "threshold", kept.alias("kept"))
