@@ -3,29 +3,41 @@
 Lines are keyed by hash. A HyperLogLog sketch of the sites (column `source`) that show a line is merged
 by aggregation, so a line that a third of all rows carry costs one sketch per map task. Lines whose
 estimate is near the threshold get an exact distinct count; the others are decided by the sketch. A line
-seen on at least `min_sites` sites is boilerplate and leaves every document. With `spare_copies`, a document
-of whose code points boilerplate lines hold more than half counts as a copy as a whole and stays as it is.
+seen on at least `min_sites` sites is boilerplate and leaves every document, whatever its length and its
+share of the document.
 
-With `max_line_chars` None and without `spare_copies`, as in the pipeline, lines of any length and share
-count and spread over sites alone decides. The query op1_line_dedup keeps both, which its SQL states too.
+Candidates (lines whose estimate reaches the margin) are written once. Up to `broadcast_keys` of them,
+counted first, lines are held against them in place: neither texts nor occurrences of lines are shuffled.
+Beyond that both steps join by line, occurrences reduced to one row for each (line, site) or (line,
+document) before the shuffle. Both ways give the same rows.
 
 Defined results: null text counts as empty text; a null source is a site of its own; lines without a
-word and lines longer than `max_line_chars` code points are never boilerplate; a document may end up
-with empty text but never disappears; an empty table gives no rows; other columns pass through, whatever
-their names.
+word are never boilerplate; a document may end up with empty text but never disappears; rows that repeat
+an id are judged each by their own lines; an empty table gives no rows; other columns pass through,
+whatever their names.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from weftline.runtime import table
+from weftline.runtime import Scratch, ship_package, table
 
-MIN_SITES, MAX_LINE_CHARS, LG_K = 8, 150, 10
+MIN_SITES, LG_K = 8, 10
+#: 12 bytes each; 12 MB at most are sent to a task.
+BROADCAST_KEYS = 1_000_000
 _WORD = "[^ \\t\\n\\x0B\\f\\r]"
+#: Spark's seed for xxhash64, so that Python finds the same keys.
+_SEED = 42
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -36,51 +48,95 @@ def _packed(docs: DataFrame) -> DataFrame:
     )
 
 
-def _eligible(line: Column, max_line_chars: int | None) -> Column:
-    """Whether a line can be boilerplate at all."""
-    word = line.rlike(_WORD)
-    return word if max_line_chars is None else (F.length(line) <= max_line_chars) & word
-
-
-def _lines(d: DataFrame, max_line_chars: int | None, *keep: str) -> DataFrame:
+def _lines(d: DataFrame, *keep: str) -> DataFrame:
+    """The keys of all lines with a word."""
     d = d.select(*keep, F.explode(F.split("t", "\n", -1)).alias("line"))
-    d = d.where(_eligible(F.col("line"), max_line_chars))
+    d = d.where(F.col("line").rlike(_WORD))
     return d.select(*keep, F.xxhash64("line").alias("h1"), F.crc32(F.encode("line", "UTF-8")).alias("h2"))
 
 
-def _boilerplate(d: DataFrame, min_sites: int, max_line_chars: int | None, lg_k: int) -> DataFrame:
-    lines = _lines(d, max_line_chars, "site")
+def _boilerplate(d: DataFrame, min_sites: int, lg_k: int, broadcast_keys: int, scratch: Scratch) -> DataFrame:
+    lines = _lines(d.select("t", "site"), "site")
     est = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.hll_sketch_estimate(F.hll_sketch_agg("site", lg_k)).alias("est"))
-    est = est.where(F.col("n") >= min_sites)
     margin = 1 + math.ceil(4 * 1.04 / math.sqrt(2**lg_k) * min_sites)
-    sure = est.where(F.col("est") > min_sites + margin).select("h1", "h2")
-    near = est.where(F.col("est").between(min_sites - margin, min_sites + margin)).select("h1", "h2")
-    exact = lines.join(near, ["h1", "h2"], "left_semi").distinct().groupBy("h1", "h2").count().where(F.col("count") >= min_sites).select("h1", "h2")
-    return sure.unionByName(exact)
+    cand = scratch.save(est.where((F.col("n") >= min_sites) & (F.col("est") >= min_sites - margin)).select("h1", "h2", "est"), "candidates")
+    near = cand.where(F.col("est") <= min_sites + margin).select("h1", "h2")
+    if near.count() <= broadcast_keys:
+        pairs = lines.join(F.broadcast(near), ["h1", "h2"], "left_semi").distinct()
+    else:
+        pairs = lines.distinct().join(near, ["h1", "h2"], "left_semi")
+    exact = pairs.groupBy("h1", "h2").count().where(F.col("count") >= min_sites).select("h1", "h2")
+    return scratch.save(cand.where(F.col("est") > min_sites + margin).select("h1", "h2").unionByName(exact), "boilerplate")
 
 
-def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, max_line_chars: int | None = MAX_LINE_CHARS, lg_k: int = LG_K) -> DataFrame:
+def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K, broadcast_keys: int = BROADCAST_KEYS, scratch: Scratch | None = None) -> DataFrame:
     """Keys (h1, h2) of the lines that at least min_sites sites show."""
-    return _boilerplate(_packed(docs), min_sites, max_line_chars, lg_k)
-
-
-def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, max_line_chars: int | None = MAX_LINE_CHARS, counts: bool = False, lg_k: int = LG_K, spare_copies: bool = True) -> DataFrame:
+    return _boilerplate(_packed(docs), min_sites, lg_k, broadcast_keys, scratch or Scratch(docs.sparkSession))
+
+
+def _cut(h1: np.ndarray, h2: np.ndarray, at: int, counts: bool):
+    """Takes the lines with the given keys (sorted by h1) out of column number `at`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hash_ = xxhash.xxh64_intdigest
+        for b in batches:
+            col = b.column(at).cast(pa.string())
+            texts = col.cast(pa.binary()).to_pylist()
+            docs = [(t or b"").split(b"\n") for t in texts]
+            n = np.array([len(x) for x in docs], np.int64)
+            h = np.fromiter((hash_(x, _SEED) for ls in docs for x in ls), np.uint64, int(n.sum()))
+            lo = np.searchsorted(h1, h, side="left")
+            hi = np.searchsorted(h1, h, side="right")
+            hit = np.flatnonzero(hi > lo)
+            row = np.searchsorted(np.cumsum(n), hit, side="right")
+            first = np.cumsum(n) - n
+            gone: dict[int, set[int]] = {}
+            for i, r in zip(hit.tolist(), row.tolist()):
+                k = i - int(first[r])
+                if zlib.crc32(docs[r][k]) in h2[lo[i] : hi[i]]:
+                    gone.setdefault(r, set()).add(k)
+            for r, ks in gone.items():
+                texts[r] = b"\n".join(x for k, x in enumerate(docs[r]) if k not in ks)
+            cols = list(b.columns)
+            if gone:
+                cols[at] = pa.array(texts, pa.binary()).cast(pa.string())
+            else:
+                cols[at] = col
+            if counts:
+                cut = np.zeros(len(n), np.int64)
+                for r, ks in gone.items():
+                    cut[r] = len(ks)
+                cols += [pa.array(n), pa.array(cut)]
+            yield pa.RecordBatch.from_arrays(cols, names=[f"c{i}" for i in range(len(cols))])
+
+    return run
+
+
+def remove_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, counts: bool = False, lg_k: int = LG_K, broadcast_keys: int = BROADCAST_KEYS, scratch: Scratch | None = None) -> DataFrame:
     """The documents with boilerplate lines taken out of `text`; with counts=True also _n_lines, _n_removed."""
+    spark = docs.sparkSession
+    ship_package(spark)
+    scratch = scratch or Scratch(spark)
     d = _packed(docs)
-    keys = _boilerplate(d, min_sites, max_line_chars, lg_k)
-    hits = _lines(d, max_line_chars, "id").join(keys, ["h1", "h2"], "left_semi")
+    keys = _boilerplate(d, min_sites, lg_k, broadcast_keys, scratch)
+    more = ["_n_lines", "_n_removed"] if counts else []
+    if keys.count() <= broadcast_keys:
+        k = keys.orderBy("h1").toArrow()
+        h1, h2 = k.column("h1").to_numpy(), k.column("h2").to_numpy()
+        o = np.argsort(h1.view(np.uint64), kind="stable")
+        fields = [StructField(f.name, StringType() if f.name == "text" else f.dataType, True) for f in docs.schema]
+        at = docs.columns.index("text")
+        same = docs.select(*[F.col(f"`{c}`").cast("string").alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+        return same.mapInArrow(_cut(h1.view(np.uint64)[o], h2[o], at, counts), StructType(fields + [StructField(x, LongType()) for x in more]))
+    hits = _lines(d.select("t", "id"), "id").distinct().join(keys, ["h1", "h2"], "left_semi")
     # rows that share an id get each other's keys too, and look them up by their own lines' hashes
     hits = hits.groupBy(F.col("id").alias("hid")).agg(F.collect_set(F.struct("h1", "h2")).alias("found"))
-    j = d.join(hits.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("hid")), "left")
+    j = d.join(hits, F.col("id").eqNullSafe(F.col("hid")), "left")
     ls = F.split("t", "\n", -1)
-    gone = lambda x: _eligible(x, max_line_chars) & F.array_contains("found", F.struct(F.xxhash64(x).alias("h1"), F.crc32(F.encode(x, "UTF-8")).alias("h2")))
+    gone = lambda x: F.array_contains("found", F.struct(F.xxhash64(x).alias("h1"), F.crc32(F.encode(x, "UTF-8")).alias("h2")))
     j = j.withColumn("kept", F.when(F.col("found").isNotNull(), F.filter(ls, lambda x: ~gone(x))))
-    lost = F.aggregate(ls, F.lit(0), lambda a, x: a + F.length(x)) - F.aggregate("kept", F.lit(0), lambda a, x: a + F.length(x))
-    act = F.col("kept").isNotNull() & (F.size("kept") < F.size(ls))
-    if spare_copies:
-        act = act & (2 * lost <= F.length("t"))
-    j = j.withColumn("act", F.coalesce(act, F.lit(False)))
-    out = [F.when(F.col("act"), F.array_join("kept", "\n")).otherwise(F.col("r.text")).alias(c) if c == "text" else F.col(f"r.`{c}`").alias(c) for c in docs.columns]
+    j = j.withColumn("act", F.coalesce(F.size("kept") < F.size(ls), F.lit(False)) & F.col("kept").isNotNull())
+    out = [F.when(F.col("act"), F.array_join("kept", "\n")).otherwise(F.col("r.text").cast("string")).alias(c) if c == "text" else F.col(f"r.`{c}`").alias(c) for c in docs.columns]
     if counts:
         out += [F.size(ls).cast("long").alias("_n_lines"), F.when(F.col("act"), F.size(ls) - F.size("kept")).otherwise(0).cast("long").alias("_n_removed")]
     return j.select(*out)
@@ -93,16 +149,13 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP1_SQL = f"""
 WITH l AS (
-  SELECT doc_id, site, line, pos, full_len, length(line) <= {MAX_LINE_CHARS} AND regexp_matches(line, '[^ \\t\\n\\x0B\\f\\r]') AS ok
-  FROM (SELECT doc_id, coalesce(source, '<null>') AS site, length(coalesce(text, '')) AS full_len,
+  SELECT doc_id, site, line, pos, regexp_matches(line, '[^ \\t\\n\\x0B\\f\\r]') AS ok
+  FROM (SELECT doc_id, coalesce(source, '<null>') AS site,
                unnest(string_split(coalesce(text, ''), chr(10))) AS line,
                generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents)
 ), b AS (SELECT line FROM l WHERE ok GROUP BY line HAVING count(DISTINCT site) >= {MIN_SITES}),
-m AS (SELECT l.*, b.line IS NOT NULL AND l.ok AS hit FROM l LEFT JOIN b ON l.line = b.line),
-d AS (SELECT doc_id, max(full_len) AS full_len, count(*) AS n_lines, count(*) FILTER (WHERE hit) AS n_hit,
-        coalesce(sum(length(line)) FILTER (WHERE hit), 0) AS lost,
-        string_agg(line, chr(10) ORDER BY pos) AS whole, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT hit), '') AS cut
-      FROM m GROUP BY doc_id)
-SELECT doc_id, n_lines, CASE WHEN 2 * lost <= full_len THEN n_hit ELSE 0 END AS n_removed,
-       CASE WHEN 2 * lost <= full_len THEN cut ELSE whole END AS text FROM d
+m AS (SELECT l.*, b.line IS NOT NULL AND l.ok AS hit FROM l LEFT JOIN b ON l.line = b.line)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE hit) AS n_removed,
+       coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT hit), '') AS text
+FROM m GROUP BY doc_id
 """
