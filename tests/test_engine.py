@@ -61,7 +61,7 @@ def test_fold_equals_a_loop(spark, seed):
 
 
 def test_stream_equals_batch(spark, tmp_path):
-    rows = [(f"Email:{i % 7}", "Email", "pq"[i % 2], str(i % 5), ["Workspace", "Inazuma_overflow", "Enterprise_Mail_System"][i % 3], i, False) for i in range(120)]
+    rows = [(f"Email:{i % 7}", "Email", "pq"[i % 2], str(i % 5), ["Workspace", "Elsewhere", "Enterprise_Mail_System"][i % 3], i, False) for i in range(120)]
     schema = "node_id string, node_type string, key string, value string, source_system string, ord long, human boolean"
     want = {(x.node_id, x.key): x.value for x in upsert.state(upsert.fold(frame(spark, rows, schema))).collect()}
     for k in range(3):
@@ -71,6 +71,69 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == want
 
 
+def test_stream_remembers_edits_by_hand(spark, tmp_path):
+    """HR sets 1, somebody sets 2 by hand, IT sets 3: one record a batch gives what one batch gives."""
+    schema = "node_id string, node_type string, key string, value string, source_system string, ord long, human boolean"
+    rows = [("Email:1", "Email", "p", "1", "Human_Resource_Management", 0, False), ("Email:1", "Email", "p", "2", "IT_Service_Management", 1, True), ("Email:1", "Email", "p", "3", "IT_Service_Management", 2, False), ("Email:1", "Email", "q", "4", "Workspace", 3, False)]
+    f = upsert.fold(frame(spark, rows, schema))
+    want = {(x.node_id, x.key): x.value for x in upsert.state(f).collect()}
+    for r in rows:
+        frame(spark, [r], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    reingest.start(spark, str(tmp_path / "in"), str(tmp_path / "g"), files_per_batch=1).awaitTermination()
+    assert {(x.node_id, x.key): x.value for x in spark.read.parquet(str(tmp_path / "g/state/v=3")).collect()} == want == {("Email:1", "p"): "3", ("Email:1", "q"): "4"}
+    clashes = lambda d: sorted((x.key, x.existing_source, x.new_source, str(x.winner)) for x in d.collect())
+    assert clashes(spark.read.parquet(str(tmp_path / "g/conflicts/v=*"))) == clashes(upsert.conflicts(f))
+
+
+def test_resolutions_and_provenance(spark):
+    c = frame(spark, [("A:1", "k", "a", "b", 1, "pending_review", None), ("A:1", "k", "a", "c", 2, "pending_review", None), ("A:1", "m", "x", "y", 3, "auto_resolved", "new")], "node_id string, key string, existing_value string, new_value string, ord long, status string, winner string")
+    done = upsert.resolve_manually(c, frame(spark, [("A:1", "k", 1, "new"), ("A:1", "k", 2, "existing"), ("A:1", "m", 3, "existing")], "node_id string, key string, ord long, winner string"))
+    s = upsert.apply_resolutions(frame(spark, [("A:1", "k", "a"), ("A:1", "m", "y")], "node_id string, key string, value string"), done)
+    assert {r.key: r.value for r in s.collect()} == {"k": "b", "m": "y"}
+    assert upsert.list_conflicts(done, "pending_review").count() == 0 and upsert.list_conflicts(done).count() == 3
+    p = frame(spark, [("s", "", "f")], "a string, b string, c string").select(upsert.make_provenance(F.col("a"), F.col("b"), field=F.col("c")).alias("p")).first().p
+    assert (p.source_system, p.file, p.field, p.confidence) == ("s", None, "f", 1.0)
+    q = frame(spark, [([("s1", "x"), ("s2", "y")],), ([],)], "p array<struct<source_system:string,field:string>>").select(upsert.provenance_of(F.col("p"), "y").alias("y"), upsert.provenance_of(F.col("p"), "z").alias("z")).collect()
+    assert [(r.y and r.y.source_system, r.z and r.z.source_system) for r in q] == [("s2", "s1"), (None, None)]
+
+
+def test_merging_and_actions(spark):
+    nodes = frame(spark, [("C:1", "C"), ("C:2", "C"), ("C:3", "C"), ("E:1", "E")], "node_id string, node_type string")
+    edges = frame(spark, [("E:1", "C:2", "r", 1), ("E:1", "C:1", "r", 2), ("C:1", "C:2", "same_as", 3), ("C:3", "E:1", "s", 4)], "src string, dst string, rel_type string, ord long")
+    facts = frame(spark, [("C:1", "k", "a"), ("C:2", "k", "b"), ("C:2", "m", "c")], "node_id string, key string, value string")
+    prov = frame(spark, [("C:1", "x", "f1"), ("C:2", "y", "f2")], "node_id string, source_system string, file string")
+    n, e, f, p, c = resolve.merge_graph(nodes, edges, facts, prov, frame(spark, [("C:1", "C:1"), ("C:2", "C:1")], "node_id string, canonical string"), resolve.Merge("human", "field_after_human_merge"))
+    assert {r.node_id for r in n.collect()} == {"C:1", "C:3", "E:1"} and {(r.src, r.dst) for r in e.collect()} == {("E:1", "C:1"), ("C:3", "E:1")}
+    assert {(r.node_id, r.key): r.value for r in f.collect()} == {("C:1", "k"): "a", ("C:1", "m"): "c"}
+    assert {(r.node_id, r.source_system, r.file) for r in p.collect()} == {("C:1", "x", "f1"), ("C:1", "y", "f2"), ("C:1", "human", "merged_in:C:2")}
+    assert [(r.merged_value, r.conflict_type, r.status) for r in c.collect()] == [("b", "field_after_human_merge", "pending_review")]
+    same = frame(spark, [("C:1", "C:2", "same_as", "needs_review"), ("C:2", "C:3", "same_as", "needs_review")], "src string, dst string, rel_type string, status string")
+    members = frame(spark, [(1, "C:1"), (1, "C:2"), (2, "C:2"), (2, "C:3"), (3, "E:1"), (4, "C:1"), (4, "C:3")], "conflict_ix int, node_id string")
+    act = frame(spark, [(1, "remove_same_as_edges"), (2, "upgrade_to_auto_linked"), (3, "mark_shared_mailbox"), (4, "merge_nodes")], "conflict_ix int, action string")
+    e2, n2, alias = decisions.apply_actions(same, nodes, members, act)
+    assert [(r.src, r.status) for r in e2.collect()] == [("C:2", "auto_linked")] and {r.node_id for r in n2.where("is_shared_mailbox").collect()} == {"E:1"}
+    assert {(r.node_id, r.canonical) for r in alias.collect()} == {("C:1", "C:1"), ("C:3", "C:1")}
+    assert [r.x for r in frame(spark, [("names disagree",), ("vat_id differs",), ("similar names",), (None,)], "w string").coalesce(1).select(decisions.id_conflict(F.col("w")).alias("x")).collect()] == [True, True, False, False]
+
+
+def test_evidence_and_flat_values(spark):
+    nodes = frame(spark, [("A:1",), ("A:2",)], "node_id string")
+    facts = frame(spark, [("A:1", "k", "steel rod", 1), ("A:1", "m", "red", 2), ("A:2", "k", "glass", 1)], "node_id string, key string, value string, ord long")
+    rel = frame(spark, [("A:1", "r", "X", 0, 1), ("A:1", "r", "Y", 1, 1), ("A:1", "r", "Z", 1, 2)], "node_id string, rel_type string, other_title string, way int, ord long")
+    got = {r.node_id: r.evidence for r in search.evidence_lines(nodes, facts, rel, "red steel").collect()}
+    assert got == {"A:1": ["property k", "property m", "r X", "r Y"], "A:2": ["generated view"]}
+    v = frame(spark, [('["a","b"]', "list"), ('{"x":"1","y":"2"}', "dict"), ("t" * 500, "string"), (None, "string")], "v string, k string").coalesce(1)
+    assert [r.s for r in v.select(search.stringify(F.col("v"), F.col("k")).alias("s")).collect()] == ["a b", "x 1 y 2", "t" * 400, ""]
+
+
+def test_falsy_by_type(spark):
+    d = frame(spark, [(1, "0", "false", 0, False, 0.0, "", 7), (2, "1", "x", 3, True, 0.5, None, 0)], "id int, a string, b string, c int, d boolean, e double, f string, g int").withColumn("ord", F.col("id").cast("long"))
+    cells = {c: F.col(c) for c in "abcdefg"}
+    got = lambda falsy: {(r.node_id, r.key): r.value for r in ingest.facts_of(d, F.concat(F.lit("N:"), F.col("id").cast("string")), cells, falsy).collect()}
+    assert {k: v for k, v in got(True).items() if k[0] == "N:1"} == {("N:1", "a"): "0", ("N:1", "b"): "false", ("N:1", "g"): "7"}
+    assert {k[1] for k in got(False) if k[0] == "N:1"} == set("abcdeg") and {k[1] for k in got(True) if k[0] == "N:2"} == set("abcde")
+
+
 # ---- risk, proposals
 
 

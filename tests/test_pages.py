@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from weftline.operators import resolve
 from weftline.plans.engine import Engine, payload, prompt
@@ -49,7 +50,13 @@ def test_retrieve_edit_annotate(engine):
     r = engine.retrieve("printer fire", k=1).first()
     assert r.node_id == "ITTicket:7" and "Ana Bo" in r.relations
     e = engine.edit("Client:c1", "industry", "steel", 10).edit("Client:c1", "industry", "glass", 11)
-    assert {(x.metric, x.name): x.n for x in e.stats().collect()}["conflicts", "manually_resolved"] == 1
+    # the ingested value gives way to the first edit, the first edit to the second
+    assert [(x.existing_value, x.new_value, x.existing_source) for x in e.conflicts("manually_resolved").orderBy("ord").collect()] == [("food", "steel", "Business_and_Management"), ("steel", "glass", "Human")]
+    assert {(x.metric, x.name): x.n for x in e.stats().collect()}["conflicts", "manually_resolved"] == 2
+    assert '"industry":"glass"' in page(e, "clients", "c1")
+    assert (r.rank, r.matched, r.evidence[0]) == (1, ["fire", "printer"], "property issue") and r.context.startswith("1. Printer on fire (ITTicket:7)")
+    with pytest.raises(ValueError):
+        engine.retrieve("x", k=0)
     n = engine.annotate("Client:c1", "Ana", "call back", "2024-05-01")
     assert n.graph.neighbours(n.graph.node("Client:c1"), "annotates").count() == 1 and len(n.graph.nodes.where("node_type = 'Note'").first().node_id) == len("Note:") + 12
 
@@ -59,3 +66,24 @@ def test_resolve_over_ingested_records(engine):
     assert [(r.decision, r.size) for r in d.collect()] == [("merge", 2)] and links.count() == 0
     p = prompt(payload(m.join(engine.graph.nodes.select("node_id", "node_type"), "node_id"))).first().prompt
     assert "Client:c1" in p and "JSON" in p
+
+
+def test_edits_notes_and_changes_show(spark, engine):
+    e = engine.edit("Employee:1", "level", "L9", 5).edit("Employee:1", "name", "Ana Bonet", 6).annotate("Employee:1", "Ed", "ask about leave", "2024-05-02")
+    p = page(e, "people", "1")
+    assert p.startswith("# Ana Bonet (1)") and "- Level: L9 _(Human)_" in p and "- Email: a@x _(Human_Resource_Management)_" in p
+    assert "## Recent changes (2)" in p and "- level: L1 to L9 (Human)" in p and "## Notes\n- Ed: ask about leave" in p
+    assert e.retrieve("Bonet", mode="vector", k=1).first().node_id == "Employee:1"
+    assert e.status().first().ready and e.status().first().documents == e.graph.nodes.count()
+    # what is ingested after an edit meets it: HR decides about employees, so its value wins again
+    again = spark.createDataFrame([("1", "Ana Bo", "L3")], "emp_id string, Name string, Level string").withColumn("category", F.lit("HR"))
+    late = Engine.ingest({"employees": again}, base=e)
+    assert {(r.key, r.value) for r in late.facts.where("node_id = 'Employee:1'").collect()} >= {("level", "L3"), ("name", "Ana Bo"), ("email", "a@x")}
+    assert late.graph.nodes.where("node_id = 'Employee:1'").count() == 1 and late.graph.edges.count() == e.graph.edges.count()
+
+
+def test_ingesting_twice_keeps_the_later_rows(spark):
+    make = lambda name: spark.createDataFrame([(f"c{i}", f"{name} {i}") for i in range(20)], "customer_id string, customer_name string").select("*", *[F.lit(None).cast("string").alias(c) for c in ("invoice_paths", "purchase_order_paths", "shipping_order_paths")]).repartition(3)
+    e = Engine.ingest({"customers": make("New")}, base=Engine.ingest({"customers": make("Old")}))
+    assert {r.title.split()[0] for r in e.graph.nodes.collect()} == {"New"} and {r.value.split()[0] for r in e.facts.where("key = 'name'").collect()} == {"New"}
+    assert e.conflicts("auto_resolved").count() == 20 and e.changes().count() == 20

@@ -138,6 +138,8 @@ def mark_alias(nodes: DataFrame, variants: DataFrame) -> DataFrame:
 
 
 def mark_shared_mailbox(nodes: DataFrame, ids: DataFrame) -> DataFrame:
+    if "is_shared_mailbox" not in nodes.columns:
+        nodes = nodes.withColumn("is_shared_mailbox", F.lit(False))
     hit = ids.select("node_id").distinct().withColumn("_hit", F.lit(True))
     return nodes.join(hit, "node_id", "left").withColumn("is_shared_mailbox", F.coalesce("_hit", "is_shared_mailbox", F.lit(False))).drop("_hit")
 
@@ -156,6 +158,61 @@ def apply_status(conflicts: DataFrame, confirmed: DataFrame) -> DataFrame:
     return j.withColumn("status", F.when(F.col("applied_action").isNotNull(), "human_resolved").otherwise(F.col("status")))
 
 
+def select_pending(conflicts: DataFrame, most: int | None = None) -> DataFrame:
+    """Conflicts that a decider takes: cluster matches and name inconsistencies under review, at most `most` if given."""
+    p = conflicts.where(F.col("conflict_type").isin("entity_match_review", "employee_name_inconsistency") & (F.col("status") == "pending_review"))
+    return p.orderBy("conflict_ix").limit(most) if most else p
+
+
+def id_conflict(reason: Column) -> Column:
+    """Whether a review's reason speaks of identifiers that disagree."""
+    return F.coalesce(F.lower(reason).rlike("tax_id|disagree|_id"), F.lit(False))
+
+
+def annotate(conflicts: DataFrame, decided: DataFrame) -> DataFrame:
+    """Conflicts with what was decided about them: `review` (decision, confidence, action, risk, recommended) and the status that follows.
+
+    What may be done at once becomes llm_resolved, what is risky pending_human_after_llm; undecided conflicts stay.
+    decided: conflict_ix and the columns of assess().
+    """
+    r = decided.select("conflict_ix", F.struct("decision", "confidence", "action", "risk", "recommended").alias("review"))
+    j = conflicts.join(r, "conflict_ix", "left")
+    status = F.when(F.col("review").isNull(), F.col("status")).when(F.col("review.recommended") == "auto_act", "llm_resolved").otherwise("pending_human_after_llm")
+    return j.withColumn("status", status)
+
+
+def run_stats(decided: DataFrame) -> DataFrame:
+    """(metric, name, value) of a run: totals, mix of decisions, actions and recommendations, and means."""
+    one = lambda name, v: F.struct(F.lit(name).alias("metric"), F.lit("").alias("name"), v.cast("double").alias("value"))
+    cells = decided.agg(F.array(one("decided", F.count("*")), one("mean_confidence", F.avg("confidence")), one("mean_risk", F.avg("risk")), one("auto_acted", F.count_if(F.col("recommended") == "auto_act"))).alias("c")).select(F.explode("c").alias("c")).select("c.*")
+    for c in ("decision", "action", "recommended"):
+        cells = cells.unionByName(decided.groupBy(c).agg(F.count("*").cast("double").alias("value")).select(F.lit(c).alias("metric"), F.col(c).alias("name"), "value"))
+    return cells
+
+
+def audit(decided: DataFrame, members: DataFrame) -> DataFrame:
+    """(node_id, conflict_ix, action, kind): one entry for each member that an action touches; members: conflict_ix, node_id."""
+    d = decided.where("action <> 'no_action'").select("conflict_ix", "action", F.when(F.col("recommended") == "auto_act", "llm").otherwise("human").alias("kind"))
+    return members.join(d, "conflict_ix").select("node_id", "conflict_ix", "action", "kind")
+
+
+def apply_actions(edges: DataFrame, nodes: DataFrame, members: DataFrame, decided: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(edges, nodes, aliases) after the decided actions; members: conflict_ix, node_id; decided: conflict_ix, action.
+
+    Removals and upgrades act on same_as edges, marks on nodes (columns aliases, is_shared_mailbox); for merge_nodes
+    the aliases (node_id, canonical) come back, for resolve.merge_graph. Other actions change nothing here.
+    """
+    from weftline.operators import resolve
+
+    m = members.join(decided.select("conflict_ix", "action"), "conflict_ix")
+    of = lambda a: m.where(F.col("action") == a).select("node_id", F.col("conflict_ix").cast("string").alias("cluster"))
+    e = resolve.upgrade_same_as(resolve.remove_same_as(edges, of("remove_same_as_edges")), of("upgrade_to_auto_linked"))
+    n = mark_shared_mailbox(nodes, of("mark_shared_mailbox"))
+    merged = of("merge_nodes")
+    keep = merged.groupBy("cluster").agg(F.min("node_id").alias("canonical"))
+    return e, n, merged.join(keep, "cluster").select("node_id", "canonical")
+
+
 def recorded(pending_: DataFrame, decisions: DataFrame) -> DataFrame:
     """Pending conflicts with their recorded decision by cluster key, model and prompt version; uncertain where none."""
     j = pending_.join(decisions, ["cluster_key", "model", "prompt_version"], "left")

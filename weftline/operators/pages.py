@@ -14,6 +14,26 @@ from weftline.operators.graph import ContextGraph, top_per
 from weftline.operators.views import assemble, section
 
 
+#: Sections of the caller's own (notes, recent changes), put on the pages of the nodes at hand.
+Extra = tuple[DataFrame, ...] | list[DataFrame]
+
+
+def _extra(nodes: DataFrame, extra: Extra) -> list[DataFrame]:
+    ids = nodes.select("node_id")
+    return [x.join(ids, "node_id", "left_semi") for x in extra]
+
+
+def source_tag(source: Column) -> Column:
+    """Where a value comes from, as text behind it; nothing where that isn't known."""
+    return F.when(T.blank_to_null(source).isNotNull(), F.concat(F.lit(" _("), source, F.lit(")_"))).otherwise("")
+
+
+def filtered_properties(facts: DataFrame, most: int = 8, chars: int = 200) -> DataFrame:
+    """(node_id, key, value, rn): each node's first properties that aren't empty, long values cut."""
+    f = top_per(facts.where(T.blank_to_null(F.col("value")).isNotNull()), "node_id", most, F.col("ord"), F.col("key"))
+    return f.select("node_id", "key", F.substring("value", 1, chars).alias("value"), "rn")
+
+
 def wide(facts: DataFrame, keys: list[str]) -> DataFrame:
     """(node_id, one column per key) of long facts; the last written value counts."""
     best = facts.where(F.col("key").isin(*keys)).groupBy("node_id", "key").agg(F.max(F.struct("ord", "value")).alias("b"))
@@ -27,10 +47,11 @@ def _title(nodes: DataFrame) -> DataFrame:
 def _bullets(nodes: DataFrame, facts: DataFrame, number: int, head: str, fields: dict[str, str]) -> list[DataFrame]:
     """A heading and one line per present field, in the given order."""
     f = facts.join(nodes.select("node_id"), "node_id", "left_semi").where(F.col("key").isin(*fields))
-    f = f.groupBy("node_id", "key").agg(F.max(F.struct("ord", "value")).alias("b")).select("node_id", "key", F.col("b.value").alias("value"))
+    source = F.col("source_system") if "source_system" in facts.columns else F.lit(None).cast("string")
+    f = f.groupBy("node_id", "key").agg(F.max(F.struct("ord", "value", source.alias("source"))).alias("b")).select("node_id", "key", F.col("b.value").alias("value"), F.col("b.source").alias("source"))
     pos = F.create_map(*[F.lit(x) for i, k in enumerate(fields, 1) for x in (k, i)])[F.col("key")]
     label = F.create_map(*[F.lit(x) for k, v in fields.items() for x in (k, v)])[F.col("key")]
-    rows = section(f, number, pos, F.concat(F.lit("- "), label, F.lit(": "), "value"))
+    rows = section(f, number, pos, F.concat(F.lit("- "), label, F.lit(": "), "value", source_tag(F.col("source"))))
     return [section(f.select("node_id").distinct(), number, F.lit(0), F.lit(f"\n## {head}")), rows]
 
 
@@ -63,7 +84,7 @@ def _of(g: ContextGraph, kind: str, ids: DataFrame | None) -> DataFrame:
     return n.join(ids.select("node_id"), "node_id", "left_semi") if ids is not None else n
 
 
-def employees(g: ContextGraph, facts: DataFrame, provenance: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+def employees(g: ContextGraph, facts: DataFrame, provenance: DataFrame, ids: DataFrame | None = None, extra: Extra = ()) -> DataFrame:
     """(node_id, page): basics, activity counts, clients, the last ten emails, tickets, sources."""
     n = _of(g, "Employee", ids)
     parts = [_title(n), *_bullets(n, facts, 1, "Basic information", {"email": "Email", "department": "Department", "level": "Level", "doj": "Joined"}), *_bullets(n, facts, 2, "Profile", {"skills": "Skills", "resume_text": "Résumé"})]
@@ -76,10 +97,10 @@ def employees(g: ContextGraph, facts: DataFrame, provenance: DataFrame, ids: Dat
     mails = _linked(g, n, "sent_email", "outgoing").join(dates, "other", "left").withColumn("date", F.coalesce("date", F.lit("")))
     parts += _listed(mails, 5, "Recent emails", 10, [F.desc("date"), F.col("ord"), F.col("other")], F.concat(F.lit("- ["), "date", F.lit("] "), "other_title"))
     parts += _listed(_linked(g, n, "raised_ticket", "outgoing"), 6, "IT tickets", 10, [F.col("ord"), F.col("other")], F.concat(F.lit("- "), _link("it-tickets")))
-    return assemble(*parts, _sources(n, provenance))
+    return assemble(*parts, _sources(n, provenance), *_extra(n, extra))
 
 
-def teams(g: ContextGraph, facts: DataFrame, provenance: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+def teams(g: ContextGraph, facts: DataFrame, provenance: DataFrame, ids: DataFrame | None = None, extra: Extra = ()) -> DataFrame:
     """(node_id, page): members by name as a table, and their summed activity; edges are read once."""
     n = _of(g, "Department", ids)
     members = _linked(g, n, "works_in", "incoming")
@@ -89,16 +110,16 @@ def teams(g: ContextGraph, facts: DataFrame, provenance: DataFrame, ids: DataFra
     parts = [_title(n), *_listed(rows, 1, head, 10**9, [F.col("other_title"), F.col("other")], F.concat(F.lit("| "), _link("people"), F.lit(" | "), F.coalesce("level", F.lit("")), F.lit(" |")))]
     act = g.both_ways().where("direction = 'outgoing' and rel_type in ('sent_email', 'raised_ticket')").groupBy(F.col("node_id").alias("other"), "rel_type").agg(F.count("*").alias("c"))
     total = members.join(act, "other").groupBy("node_id", "rel_type").agg(F.sum("c").alias("c"))
-    return assemble(*parts, section(total, 2, F.when(F.col("rel_type") == "sent_email", 1).otherwise(2), F.concat(F.lit("- "), F.regexp_replace("rel_type", "_", " "), F.lit(": "), F.col("c").cast("string"))), _sources(n, provenance))
+    return assemble(*parts, section(total, 2, F.when(F.col("rel_type") == "sent_email", 1).otherwise(2), F.concat(F.lit("- "), F.regexp_replace("rel_type", "_", " "), F.lit(": "), F.col("c").cast("string"))), _sources(n, provenance), *_extra(n, extra))
 
 
-def policies(g: ContextGraph, facts: DataFrame, provenance: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+def policies(g: ContextGraph, facts: DataFrame, provenance: DataFrame, ids: DataFrame | None = None, extra: Extra = ()) -> DataFrame:
     """(node_id, page): metadata, summary, full text, sources."""
     n = _of(g, "Policy", ids)
     w = wide(facts, ["summary", "content"]).join(n.select("node_id"), "node_id", "left_semi")
     parts = [_title(n), *_bullets(n, facts, 1, "Metadata", {"category": "Category", "char_count": "Characters", "line_count": "Lines"})]
     parts += [section(w.where("summary is not null"), 2, F.lit(0), F.concat(F.lit("\n## Summary\n"), "summary")), section(w.where("content is not null"), 3, F.lit(0), F.concat(F.lit("\n## Full text\n"), "content"))]
-    return assemble(*parts, _sources(n, provenance))
+    return assemble(*parts, _sources(n, provenance), *_extra(n, extra))
 
 
 def _thread_mails(g: ContextGraph, n: DataFrame, facts: DataFrame) -> DataFrame:
@@ -119,24 +140,24 @@ def _span(mails: DataFrame, number: int) -> DataFrame:
     return section(s, number, F.lit(0), F.concat(F.lit("- Emails: "), F.col("n").cast("string"), F.lit("\n- Span: "), "a", F.lit(" to "), "b"))
 
 
-def threads(g: ContextGraph, facts: DataFrame, provenance: DataFrame, ids: DataFrame | None = None, snippet: int = 180) -> DataFrame:
+def threads(g: ContextGraph, facts: DataFrame, provenance: DataFrame, ids: DataFrame | None = None, extra: Extra = (), snippet: int = 180) -> DataFrame:
     """(node_id, page): counts, span, participants as first seen, timeline with snippets."""
     n = _of(g, "EmailThread", ids)
     m = _thread_mails(g, n, facts)
     parts = [_title(n), _span(m, 1), *_listed(_participants(m), 2, "Participants", 10**9, [F.col("first"), F.col("who")], F.concat(F.lit("- "), T.link(F.col("name"), "people", F.col("who"))))]
     text = F.concat(F.lit("- ["), F.substring("date", 1, 10), F.lit("] "), F.coalesce("sender_name", F.lit("")), F.lit(": "), F.regexp_replace(F.substring(F.coalesce("body", F.lit("")), 1, snippet), "\\s+", " "))
-    return assemble(*parts, *_listed(m, 3, "Timeline", 10**9, [F.col("date"), F.col("ord"), F.col("other")], text), _sources(n, provenance))
+    return assemble(*parts, *_listed(m, 3, "Timeline", 10**9, [F.col("date"), F.col("ord"), F.col("other")], text), _sources(n, provenance), *_extra(n, extra))
 
 
-def tickets(g: ContextGraph, facts: DataFrame, provenance: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+def tickets(g: ContextGraph, facts: DataFrame, provenance: DataFrame, ids: DataFrame | None = None, extra: Extra = ()) -> DataFrame:
     n = _of(g, "ITTicket", ids)
     w = wide(facts, ["resolution"]).join(n.select("node_id"), "node_id", "right")
     status = section(w, 1, F.lit(0), F.concat(F.lit("- Status: "), T.ticket_status(F.col("resolution"))))
     people = [*_listed(_linked(g, n, "raised_ticket", "incoming"), 3, "Raised by", 5, [F.col("ord")], F.concat(F.lit("- "), _link("people"))), *_listed(_linked(g, n, "assigned_ticket", "incoming"), 4, "Assigned to", 5, [F.col("ord")], F.concat(F.lit("- "), _link("people")))]
-    return assemble(_title(n), status, *_bullets(n, facts, 2, "Ticket", {"priority": "Priority", "assigned_date": "Assigned", "issue": "Issue", "resolution": "Resolution"}), *people, _sources(n, provenance))
+    return assemble(_title(n), status, *_bullets(n, facts, 2, "Ticket", {"priority": "Priority", "assigned_date": "Assigned", "issue": "Issue", "resolution": "Resolution"}), *people, _sources(n, provenance), *_extra(n, extra))
 
 
-def projects(g: ContextGraph, facts: DataFrame, provenance: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+def projects(g: ContextGraph, facts: DataFrame, provenance: DataFrame, ids: DataFrame | None = None, extra: Extra = ()) -> DataFrame:
     """(node_id, page): a thread's snapshot, contributing departments, participants and their tickets.
 
     The listing's thresholds aren't checked again.
@@ -150,7 +171,7 @@ def projects(g: ContextGraph, facts: DataFrame, provenance: DataFrame, ids: Data
     tick = p.select("node_id", "who", "first").join(raised, "who").groupBy("node_id", "ticket").agg(F.min(F.struct("first", "tord")).alias("o"))
     parts = [_title(n), _span(m, 1), *_listed(touch, 2, "Departments", 10**9, [F.desc("c"), F.col("department")], F.concat(F.lit("- "), T.link(F.col("department"), "teams", F.col("department")), F.lit(" ("), F.col("c").cast("string"), F.lit(" touches)")))]
     parts += _listed(p, 3, "Participants", 10**9, [F.col("first"), F.col("who")], F.concat(F.lit("- "), T.link(F.col("name"), "people", F.col("who"))))
-    return assemble(*parts, *_listed(tick, 4, "Related IT tickets", 25, [F.col("o"), F.col("ticket")], F.concat(F.lit("- #"), T.node_key(F.col("ticket")))), _sources(n, provenance))
+    return assemble(*parts, *_listed(tick, 4, "Related IT tickets", 25, [F.col("o"), F.col("ticket")], F.concat(F.lit("- #"), T.node_key(F.col("ticket")))), _sources(n, provenance), *_extra(n, extra))
 
 
 def documents(g: ContextGraph, facts: DataFrame, pages: DataFrame | None = None, page_chars: int = 5000) -> DataFrame:

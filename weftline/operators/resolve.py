@@ -8,6 +8,7 @@ asked for. Clusters never span blocks, since every node has one block key.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -122,38 +123,67 @@ def name_clusters(cands: DataFrame) -> DataFrame:
 
 
 def decide(cands: DataFrame, members: DataFrame, scored: DataFrame) -> DataFrame:
-    """(cluster, size, types, top_score, id_conflict, decision): merge, auto_link or review."""
+    """(cluster, size, types, top_score, id_conflict, reasons, decision): merge, auto_link or review.
+
+    Reasons are those of the cluster's pairs, each once, in the order of the pairs' first ordinals.
+    """
     m = members.join(cands.select("node_id", "node_type"), "node_id")
     shape = m.groupBy("cluster").agg(F.count("*").alias("size"), F.count_distinct("node_type").alias("types"))
     s = scored.join(members.select(F.col("node_id").alias("a_node_id"), "cluster"), "a_node_id")
-    s = s.groupBy("cluster").agg(F.max("score").alias("top_score"), F.max("id_conflict").alias("id_conflict"))
+    why = s.select("cluster", "score", "id_conflict", F.struct("a_ord", "b_ord").alias("o"), F.posexplode_outer("reasons").alias("pos", "reason"))
+    why = why.groupBy("cluster", "reason").agg(F.max("score").alias("score"), F.max("id_conflict").alias("id_conflict"), F.min(F.struct("o", "pos")).alias("o"))
+    listed = F.array_compact(F.transform(F.sort_array(F.collect_list(F.struct("o", "reason"))), lambda x: x["reason"]))
+    s = why.groupBy("cluster").agg(F.max("score").alias("top_score"), F.max("id_conflict").alias("id_conflict"), listed.alias("reasons"))
     merge = (F.col("top_score") >= MERGE_AT) & (F.col("types") == 1) & ~F.col("id_conflict")
     link = (F.col("top_score") >= CROSS_LINK_AT) & (F.col("types") > 1) & ~F.col("id_conflict")
     return shape.join(s, "cluster").withColumn("decision", F.when(merge, "merge").when(link, "auto_link").otherwise("review"))
 
 
 def same_as(members: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Both directions of every pair of a linked or flagged cluster's members."""
-    d = decisions.where(F.col("decision") != "merge").select("cluster", F.when(F.col("decision") == "auto_link", "auto_linked").otherwise("needs_review").alias("status"))
+    """Both directions of every pair of a linked or flagged cluster's members, with the cluster's score (three places) and reasons."""
+    d = decisions.where(F.col("decision") != "merge")
+    d = d.select("cluster", F.round("top_score", 3).alias("score"), "reasons", F.when(F.col("decision") == "auto_link", "auto_linked").otherwise("needs_review").alias("status"))
     m = members.join(d, "cluster")
-    a, b = m.select("cluster", "status", F.col("node_id").alias("src")), m.select("cluster", F.col("node_id").alias("dst"))
-    return a.join(b, "cluster").where("src <> dst").select("src", "dst", F.lit("same_as").alias("rel_type"), "status")
+    a, b = m.select("cluster", "status", "score", "reasons", F.col("node_id").alias("src")), m.select("cluster", F.col("node_id").alias("dst"))
+    return a.join(b, "cluster").where("src <> dst").select("src", "dst", F.lit("same_as").alias("rel_type"), "status", "score", "reasons")
+
+
+def review_conflicts(decisions: DataFrame, members: DataFrame) -> DataFrame:
+    """(cluster, conflict_type, members, score, reasons, status) of the clusters that somebody has to look at."""
+    m = members.groupBy("cluster").agg(F.sort_array(F.collect_set("node_id")).alias("members"))
+    d = decisions.where("decision = 'review'").join(m, "cluster")
+    return d.select("cluster", F.lit("entity_match_review").alias("conflict_type"), "members", F.round("top_score", 3).alias("score"), "reasons", F.lit("pending_review").alias("status"))
+
+
+def run_stats(cands: DataFrame, scored: DataFrame, decisions: DataFrame) -> DataFrame:
+    """(metric, n): what one run of a rule did."""
+    one = lambda df, name, v: df.agg(F.coalesce(v, F.lit(0)).cast("long").alias("n")).select(F.lit(name).alias("metric"), "n")
+    sizes = block_sizes(cands)
+    of = lambda d: decisions.where(F.col("decision") == d)
+    linked = F.col("size") * (F.col("size") - 1)
+    return reduce(DataFrame.unionByName, [
+        one(cands, "candidates", F.count("*")), one(sizes, "blocks", F.count("*")), one(sizes, "pairs_compared", F.sum("pairs")), one(scored, "pairs_linked", F.count("*")),
+        one(decisions, "clusters", F.count("*")), one(of("merge"), "merged_clusters", F.count("*")), one(of("merge"), "nodes_removed", F.sum(F.col("size") - 1)),
+        one(of("auto_link"), "auto_linked_clusters", F.count("*")), one(of("review"), "review_clusters", F.count("*")), one(decisions.where("decision <> 'merge'"), "same_as_edges", F.sum(linked)),
+    ])
+
+
+def _inside(edges: DataFrame, members: DataFrame) -> DataFrame:
+    """The edges with `_in`: a same_as between two members of one cluster (node_id, cluster). Edges are looked up, no pairs are made."""
+    one = members.groupBy("node_id").agg(F.collect_set("cluster").alias("_c"))
+    a, b = one.select(F.col("node_id").alias("src"), F.col("_c").alias("_a")), one.select(F.col("node_id").alias("dst"), F.col("_c").alias("_b"))
+    j = edges.join(a, "src", "left").join(b, "dst", "left")
+    return j.withColumn("_in", F.coalesce((F.col("rel_type") == "same_as") & (F.col("src") != F.col("dst")) & F.arrays_overlap("_a", "_b"), F.lit(False)))
 
 
 def remove_same_as(edges: DataFrame, members: DataFrame) -> DataFrame:
     """The edges without same_as between members of one of the clusters (node_id, cluster)."""
-    a = members.select(F.col("node_id").alias("src"), F.col("cluster").alias("_a"))
-    b = members.select(F.col("node_id").alias("dst"), F.col("cluster").alias("_b"))
-    gone = a.join(b, F.col("_a") == F.col("_b")).where("src <> dst").select("src", "dst").withColumn("rel_type", F.lit("same_as"))
-    return edges.join(gone, ["src", "dst", "rel_type"], "left_anti")
+    return _inside(edges, members).where(~F.col("_in")).select(*edges.columns)
 
 
 def upgrade_same_as(edges: DataFrame, members: DataFrame, status: str = "auto_linked") -> DataFrame:
-    a = members.select(F.col("node_id").alias("src"), F.col("cluster").alias("_a"))
-    b = members.select(F.col("node_id").alias("dst"), F.col("cluster").alias("_b"))
-    hit = (F.col("rel_type") == "same_as") & (F.col("_a") == F.col("_b"))
-    e = edges.join(a, "src", "left").join(b, "dst", "left")
-    return e.withColumn("status", F.when(hit, F.lit(status)).otherwise(F.col("status"))).select(*edges.columns)
+    """The edges with same_as between members of one of the clusters set to a status."""
+    return _inside(edges, members).withColumn("status", F.when(F.col("_in"), F.lit(status)).otherwise(F.col("status"))).select(*edges.columns)
 
 
 def canonical_of(first_seen: DataFrame, members: DataFrame) -> DataFrame:
@@ -193,3 +223,23 @@ def drop_aliases(nodes: DataFrame, aliases: DataFrame) -> DataFrame:
     return nodes.join(aliases.where("node_id <> canonical").select("node_id"), "node_id", "left_anti")
 
 
+@dataclass(frozen=True)
+class Merge:
+    """Who merges, which decides how the traces are marked."""
+
+    source_system: str = "resolver"
+    conflict_type: str = "field_after_merge"
+
+
+def merge_graph(nodes: DataFrame, edges: DataFrame, facts: DataFrame, provenance: DataFrame, aliases: DataFrame, how: Merge = Merge()) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, facts, provenance, conflicts) after folding aliases (node_id, canonical) into their canonical nodes.
+
+    The canonical node's values win and disagreements become conflicts; it takes over its aliases' provenance, and
+    one more record names what was merged in. Edges move to it, those inside a cluster go, aliases are deleted.
+    """
+    moved = aliases.where("node_id <> canonical")
+    merged, clash = merge_properties(facts.select("node_id", "key", "value"), aliases)
+    p = provenance.join(moved, "node_id", "left").withColumn("node_id", F.coalesce("canonical", "node_id")).drop("canonical")
+    note = moved.groupBy(F.col("canonical").alias("node_id")).agg(F.concat(F.lit("merged_in:"), F.array_join(F.sort_array(F.collect_set("node_id")), ",")).alias("file"))
+    p = p.unionByName(note.select("node_id", F.lit(how.source_system).alias("source_system"), "file"), allowMissingColumns=True)
+    return drop_aliases(nodes, aliases), rewire(edges, aliases), merged, p, clash.withColumn("conflict_type", F.lit(how.conflict_type)).withColumn("source_system", F.lit(how.source_system))

@@ -1,15 +1,15 @@
 """Retrieval: TF-IDF postings, graph scores, hybrid ranking, evidence and routing.
 
-A document is a row (node_id, node_type, title, text, relations, degree). The index is a postings table;
-a query is a handful of literal terms, so scoring filters postings to those terms (pushed to the scan
-where the index is stored by term) and sums per node. Documents without a token stay in the index with a
-norm of 0.
+A document is a row (node_id, node_type, title, text, relations, degree). The index is stored: postings in
+folders by term bucket, with idf and norms beside them, so a query reads the buckets of its few terms and no
+text. Documents without a token stay in the index with a norm of 0.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 
 from pyspark.sql import Column, DataFrame
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from weftline.dims import STOP_WORDS, TYPE_HINTS
 from weftline.functions import text as T
+from weftline.runtime import Scratch
 
 ROUTES = ("\\bemp(?:-|_)?[0-9]+\\b", "\\b[a-z]+[:]\\S+\\b", "\\bcustomer(?:-|_)?[0-9a-z]+\\b")
 MODES = ("auto", "graph", "vector", "hybrid")
@@ -89,9 +90,14 @@ def graph_scores(docs: DataFrame, query: str) -> DataFrame:
     terms = sorted(set(query_terms(query)))
     if not terms:
         return docs.select("node_id", F.lit(0.0).alias("graph")).limit(0)
-    low, q = query.lower(), F.array(*[F.lit(t) for t in terms])
-    cover = lambda c: F.size(F.array_intersect(q, T.tokens(F.col(c)))) / float(len(terms))
-    hinted = sorted({t for w in terms for t in TYPE_HINTS.get(w, ())})
+    q = F.array(*[F.lit(t) for t in terms])
+    return _graph(docs, query, lambda c: F.size(F.array_intersect(q, T.tokens(F.col(c)))) / float(len(terms)))
+
+
+def _graph(docs: DataFrame, query: str, cover) -> DataFrame:
+    """Graph scores from each field's coverage."""
+    low = query.lower()
+    hinted = sorted({t for w in set(query_terms(query)) for t in TYPE_HINTS.get(w, ())})
     s = 0.45 * cover("text") + 0.20 * cover("relations") + 0.20 * cover("title")
     s = s + F.when(F.col("node_type").isin(*hinted), 0.20).otherwise(0.0) if hinted else s
     s = s + F.when(F.contains(F.lower("node_id"), F.lit(low)), 0.5).otherwise(0.0) + F.when(F.contains(F.lower("title"), F.lit(low)), 0.35).otherwise(0.0)
@@ -123,24 +129,92 @@ def evidence(facts: DataFrame, query: str, most: int = 3) -> DataFrame:
     return top_per(facts.where(hit), "node_id", most, F.col("ord"), F.col("key")).select("node_id", "key", "rn")
 
 
-class Index:
-    """Postings, idf and norms of a document table; `search` runs any mode."""
+def evidence_lines(nodes: DataFrame, facts: DataFrame, relations: DataFrame, query: str, most: int = 5) -> DataFrame:
+    """(node_id, evidence) of each node: property hits, or "generated view" where there are none, then up to two relations; five lines in all.
+
+    relations: node_id, rel_type, other_title, way, ord.
+    """
+    from weftline.operators.graph import top_per
+
+    hits = evidence(facts, query).select("node_id", F.lit(0).alias("s"), F.col("rn").cast("long").alias("n"), F.concat(F.lit("property "), "key").alias("t"))
+    view = nodes.select("node_id").join(hits.select("node_id").distinct(), "node_id", "left_anti").select("node_id", F.lit(0).alias("s"), F.lit(0).cast("long").alias("n"), F.lit("generated view").alias("t"))
+    rel = top_per(relations, "node_id", 2, F.col("way"), F.col("ord"), F.col("other_title"))
+    rel = rel.select("node_id", F.lit(1).alias("s"), F.col("rn").cast("long").alias("n"), F.concat_ws(" ", "rel_type", "other_title").alias("t"))
+    rows = hits.unionByName(view).unionByName(rel).join(nodes.select("node_id"), "node_id", "left_semi")
+    return rows.groupBy("node_id").agg(F.slice(F.transform(F.sort_array(F.collect_list(F.struct("s", "n", "t"))), lambda x: x["t"]), 1, most).alias("evidence"))
 
-    def __init__(self, docs: DataFrame):
-        self.docs = docs
-        self.n = docs.count()
-        self.posts = postings(docs.withColumn("text", F.concat_ws(" ", "node_type", "node_id", "title", "text", "relations")))
-        self.idf = idf(self.posts, self.n)
-        self.w = weighted(self.posts, self.idf)
-        self.norms = norms(docs, self.w)
+
+def stringify(value: Column, kind: Column, most: int = 20, chars: int = 400, item_chars: int = 120) -> Column:
+    """A property's JSON text as flat text: lists and objects item by item, the first `most`, each cut, and the whole cut too."""
+    items = F.from_json(value, "array<string>")
+    pairs = F.from_json(value, "map<string,string>")
+    cut = lambda x: F.substring(x, 1, item_chars)
+    listed = F.array_join(F.transform(F.slice(items, 1, most), cut), " ")
+    named = F.array_join(F.transform(F.slice(F.map_entries(pairs), 1, most), lambda e: F.concat(e["key"], F.lit(" "), cut(e["value"]))), " ")
+    return F.when(kind == "list", listed).when(kind == "dict", named).otherwise(F.substring(F.coalesce(value, F.lit("")), 1, chars))
+
+
+class Index:
+    """Postings, idf and norms of a document table, stored in the shared folder; `search` runs any mode.
+
+    A query's terms are literals, so only their buckets are read; graph scores come from the postings too.
+    """
+
+    BUCKETS = 64
+
+    def __init__(self, docs: DataFrame, scratch: Scratch | None = None, whole: Column | None = None):
+        scratch = scratch or Scratch(docs.sparkSession)
+        if whole is None:
+            whole = F.concat_ws(" ", "node_type", "node_id", "title", "text", "relations")
+        parts = [T.tokens(whole), *(F.array_distinct(T.tokens(F.col(c))) for c in ("text", "relations", "title"))]
+        mark = lambda i: lambda t: F.struct(t.alias("term"), F.lit(i).alias("f"))
+        cells = F.concat(*[F.transform(p, mark(i)) for i, p in enumerate(parts)])
+        t = docs.select("node_id", F.explode(cells).alias("c")).select("node_id", "c.term", "c.f")
+        of = lambda i: F.count_if(F.col("f") == i)
+        t = t.groupBy("term", "node_id").agg(of(0).alias("tf"), *[(of(i) > 0).cast("int").alias(f"in_{c}") for i, c in enumerate(("text", "relations", "title"), 1)])
+        t = t.withColumn("bucket", F.pmod(F.crc32(F.encode("term", "UTF-8")), F.lit(self.BUCKETS)).cast("int"))
+        self.posts = scratch.save(t.repartition("bucket").sortWithinPartitions("bucket", "term"), "postings", by=("bucket",))
+        self.docs = scratch.save(docs.select("node_id", "node_type", "title", "degree"), "documents")
+        self.n = self.docs.count()
+        self.idf = scratch.save(idf(self.posts.where("tf > 0").select("term", "node_id"), self.n), "idf")
+        self.w = weighted(self.posts.where("tf > 0"), self.idf)
+        self.norms = scratch.save(norms(self.docs, self.w), "norms")
+
+    def of_terms(self, terms: list[str]) -> DataFrame:
+        """The postings of some terms."""
+        where = sorted({zlib.crc32(t.encode()) % self.BUCKETS for t in terms})
+        return self.posts.where(F.col("bucket").isin(*where) & F.col("term").isin(*terms)) if terms else self.posts.limit(0)
+
+    def vector(self, query: str) -> DataFrame:
+        """(node_id, vector): cosine, where it isn't 0."""
+        own = self.of_terms(sorted(set(query_terms(query)))).where("tf > 0")
+        return vector_scores(query, weighted(own, self.idf), self.norms, self.idf)
+
+    def graph(self, query: str, docs: DataFrame | None = None) -> DataFrame:
+        """graph_scores() of the documents, from their postings."""
+        terms = sorted(set(query_terms(query)))
+        docs = self.docs if docs is None else docs
+        if not terms:
+            return docs.select("node_id", F.lit(0.0).alias("graph")).limit(0)
+        found = self.of_terms(terms).groupBy("node_id").agg(*[F.sum(f"in_{c}").alias(f"n_{c}") for c in ("text", "relations", "title")])
+        d = docs.join(found, "node_id", "left")
+        return _graph(d, query, lambda c: F.coalesce(F.col(f"n_{c}"), F.lit(0)) / float(len(terms)))
+
+    def candidates(self, query: str, node_type: str | None = None) -> DataFrame:
+        terms = sorted(set(query_terms(query)))
+        return candidates(self.docs, self.of_terms(terms).where("tf > 0"), query, node_type)
 
     def search(self, query: str, mode: str = MODES[-1], k: int = 5, node_type: str | None = None) -> DataFrame:
         if mode not in MODES:
             raise ValueError(f"mode must be one of {', '.join(MODES)}")
         if mode == "auto":
             mode = self.docs.sparkSession.range(1).select(route(F.lit(query)).alias("m")).first()["m"]
-        c = candidates(self.docs, self.posts, query, node_type)
-        g = graph_scores(c, query)
-        v = vector_scores(query, self.w, self.norms, self.idf).join(c.select("node_id"), "node_id", "left_semi")
+        c = self.candidates(query, node_type)
+        g, v = self.graph(query, c), self.vector(query).join(c.select("node_id"), "node_id", "left_semi")
         s = {"graph": g.withColumnRenamed("graph", "score"), "vector": v.withColumnRenamed("vector", "score")}.get(mode)
         return top_k(s if s is not None else hybrid(g, v), "score", k)
+
+    def matched(self, query: str) -> DataFrame:
+        """(node_id, matched): the query's terms that each document has, sorted."""
+        own = self.of_terms(sorted(set(query_terms(query)))).where("tf > 0")
+        return own.groupBy("node_id").agg(F.sort_array(F.collect_set("term")).alias("matched"))

@@ -37,7 +37,7 @@ def verdict(existing: Column, new: Column, node_type: Column) -> Column:
 def fold(feed: DataFrame) -> DataFrame:
     """The feed (node_id, node_type, key, value, source_system, ord, human) with, for each record, what it met and did.
 
-    Adds first_source (of the node), existing_source, current (value before), is_first (for its key),
+    A record may carry `edited`: its property was set by hand before. Adds first_source (of the node), existing_source, current (value before), is_first (for its key),
     node_is_new, outcome (created, added, unchanged, updated, kept, pending), status and winner.
     """
     first = feed.groupBy("node_id").agg(F.min(F.struct("ord", "source_system")).alias("_f"))
@@ -45,7 +45,8 @@ def fold(feed: DataFrame) -> DataFrame:
     w = Window.partitionBy("node_id", "key").orderBy("ord")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     f = f.withColumn("is_first", F.row_number().over(w) == 1).withColumn("node_is_new", F.col("ord") == F.col("_first_ord"))
-    edited = F.max(F.when(F.col("human"), 1).otherwise(0)).over(before) == 1
+    by_hand = F.col("human") | F.col("edited") if "edited" in feed.columns else F.col("human")
+    edited = F.max(F.when(by_hand, 1).otherwise(0)).over(before) == 1
     f = f.withColumn("existing_source", F.when(edited, F.lit(HUMAN)).otherwise(F.col("first_source")))
     src = F.when(F.col("human"), F.lit(HUMAN)).otherwise(F.col("source_system"))
     f = f.withColumn("_v", verdict(F.col("existing_source"), src, F.col("node_type")))
@@ -69,6 +70,13 @@ def state(folded: DataFrame) -> DataFrame:
     return best.select("node_id", "key", F.col("_b.applied").alias("value"))
 
 
+def facts(folded: DataFrame) -> DataFrame:
+    """(node_id, key, value, ord, source_system) after the whole feed, each with the record that set it."""
+    src = F.when(F.col("human"), F.lit(HUMAN)).otherwise(F.col("source_system"))
+    best = folded.where(F.col("applied").isNotNull()).groupBy("node_id", "key").agg(F.max(F.struct("ord", "applied", src.alias("source"))).alias("_b"))
+    return best.select("node_id", "key", F.col("_b.applied").alias("value"), F.col("_b.ord").alias("ord"), F.col("_b.source").alias("source_system"))
+
+
 def change_log(folded: DataFrame) -> DataFrame:
     """Additions to nodes that were there before, and updates."""
     kept = folded.where(F.col("outcome").isin("added", "updated"))
@@ -88,6 +96,27 @@ def resolve_manually(conflicts: DataFrame, choices: DataFrame) -> DataFrame:
     return j.select(*[c for c in conflicts.columns if c not in ("status", "winner")], F.when(hit, "manually_resolved").otherwise(F.col("status")).alias("status"), F.when(hit, F.col("_w")).otherwise(F.col("winner")).alias("winner"))
 
 
+def list_conflicts(conflicts: DataFrame, status: str | None = None) -> DataFrame:
+    """All conflicts, or those of one status."""
+    return conflicts.where(F.col("status") == status) if status else conflicts
+
+
+def apply_resolutions(state: DataFrame, resolved: DataFrame) -> DataFrame:
+    """The properties with the values that manual resolutions chose; of several for one property the last counts."""
+    won = resolved.where((F.col("status") == "manually_resolved") & (F.col("winner") == "new"))
+    won = won.groupBy("node_id", "key").agg(F.max(F.struct("ord", "new_value")).alias("_b")).select("node_id", "key", F.col("_b.new_value").alias("_v"))
+    return state.join(won, ["node_id", "key"], "left").withColumn("value", F.coalesce("_v", "value")).drop("_v")
+
+
+def make_provenance(source: Column, file: Column | None = None, record_id: Column | None = None, field: Column | None = None, confidence: Column | None = None, at: Column | None = None) -> Column:
+    """A provenance record; empty texts count as absent, confidence as 1."""
+    text = lambda c: F.nullif(c.cast("string"), F.lit("")) if c is not None else F.lit(None).cast("string")
+    return F.struct(
+        source.cast("string").alias("source_system"), text(file).alias("file"), text(record_id).alias("record_id"), text(field).alias("field"),
+        F.coalesce(confidence, F.lit(1.0)).cast("double").alias("confidence") if confidence is not None else F.lit(1.0).alias("confidence"), text(at).alias("ingested_at"),
+    )
+
+
 def merge_into(base: DataFrame, folded: DataFrame) -> DataFrame:
     """A state table brought up to date: full outer join, the feed's result over the base's."""
     new = state(folded).withColumnRenamed("value", "_new")

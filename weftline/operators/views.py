@@ -113,13 +113,16 @@ def customer_pages(customers: DataFrame, history: DataFrame, sources: DataFrame
     return assemble(*parts)
 
 
-def change_block(changes: DataFrame, most: int = 10) -> DataFrame:
-    """Lines of a page's recent changes, latest first: (node_id, section, line, text)."""
-    c = recent(changes, "node_id", "ord", most)
-    return section(c, 8, F.col("rn"), F.concat(F.lit("- "), "key", F.lit(": "), F.coalesce("old_value", F.lit("(none)")), F.lit(" to "), "new_value", F.lit(" ("), "source_system", F.lit(")")))
+def change_block(changes: DataFrame, most: int = 10) -> list[DataFrame]:
+    """A page's recent changes, latest first, as sections; changes: node_id, key, old_value, new_value, source_system, ord."""
+    c = top_per(changes, "node_id", most, F.desc("ord"), F.col("key"))
+    text = F.concat(F.lit("- "), "key", F.lit(": "), F.coalesce("old_value", F.lit("(none)")), F.lit(" to "), "new_value", F.lit(" ("), F.coalesce("source_system", F.lit("unknown")), F.lit(")"))
+    one = c.where("rn = 1")
+    more = section(one.where(F.col("group_size") > most), 8, F.lit(1000), F.concat(F.lit("- ... and "), (F.col("group_size") - most).cast("string"), F.lit(" more")))
+    return [section(one, 8, F.lit(0), F.concat(F.lit("\n## Recent changes ("), F.col("group_size").cast("string"), F.lit(")"))), section(c, 8, F.col("rn"), text), more]
 
 
-def notes_block(notes: DataFrame) -> DataFrame:
-    """Notes on a node, latest first; notes: node_id, created_at, author, body."""
+def notes_block(notes: DataFrame) -> list[DataFrame]:
+    """Notes on a node, latest first, as sections; notes: node_id, created_at, author, body."""
     n = notes.withColumn("rn", F.row_number().over(Window.partitionBy("node_id").orderBy(F.desc("created_at"), "body")))
-    return section(n, 7, F.col("rn"), F.concat(F.lit("- "), "author", F.lit(": "), "body"))
+    return [section(n.where("rn = 1"), 7, F.lit(0), F.lit("\n## Notes")), section(n, 7, F.col("rn"), F.concat(F.lit("- "), "author", F.lit(": "), "body"))]

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline import dims
@@ -37,8 +37,14 @@ def prompt(payloads: DataFrame) -> DataFrame:
     return payloads.select("cluster", F.concat(F.lit(head), "payload").alias("prompt"))
 
 
+#: Properties that name a node.
+TITLES = ("name", "business_name", "subject", "issue", "title", "summary")
+
+
 @dataclass
 class Engine:
+    """Records go through one path: they join the feed, the feed is folded, and the fold gives facts, conflicts and changes."""
+
     graph: ContextGraph
     facts: DataFrame
     provenance: DataFrame
@@ -47,14 +53,38 @@ class Engine:
     _index: search.Index | None = field(default=None, repr=False)
 
     @classmethod
-    def ingest(cls, records: dict[str, DataFrame], sources: list[str] | None = None) -> "Engine":
-        g, facts = ingest.build(records, sources)
-        origin = {t: s for t, s in dims.CANONICAL.items()}
-        prov = g.nodes.select("node_id", F.coalesce(dims.lookup(origin, F.col("node_type")), F.lit("Ingest")).alias("source_system"), F.lit("").alias("file"))
-        return cls(g, facts, prov)
+    def ingest(cls, records: dict[str, DataFrame], sources: list[str] | None = None, base: Engine | None = None) -> Engine:
+        """An engine over record tables; on a base, the records come after all that it has."""
+        g, facts = ingest.build(records, sources, base.graph if base else None, base._last() if base else None)
+        kind = F.substring_index("node_id", ":", 1)
+        feed = facts.select("node_id", kind.alias("node_type"), "key", "value", "source_system", "ord", F.lit(False).alias("human"))
+        prov = facts.select("node_id", "source_system", F.lit("").alias("file")).distinct()
+        if base is not None:
+            feed = base.feed.unionByName(feed) if base.feed is not None else feed
+            prov = base.provenance.unionByName(prov, allowMissingColumns=True).distinct()
+        return cls(g, upsert.facts(upsert.fold(feed)), prov, feed, base.notes if base else None)
+
+    def _last(self) -> int | None:
+        """The feed's last ordinal."""
+        return self.feed.agg(F.max("ord")).first()[0] if self.feed is not None else None
+
+    def _folded(self) -> DataFrame | None:
+        return upsert.fold(self.feed) if self.feed is not None else None
+
+    def conflicts(self, status: str | None = None) -> DataFrame:
+        """Conflicts of the feed, or those of one status."""
+        return upsert.list_conflicts(upsert.conflicts(self._folded()), status)
+
+    def changes(self) -> DataFrame:
+        return upsert.change_log(self._folded())
 
     def stats(self) -> DataFrame:
-        return self.graph.stats(upsert.conflicts(upsert.fold(self.feed)) if self.feed is not None else None)
+        return self.graph.stats(self.conflicts() if self.feed is not None else None)
+
+    def status(self) -> DataFrame:
+        """(ready, documents, modes): whether the index is built, how many documents it has, what it can do."""
+        row = (self._index is not None, self._index.n if self._index is not None else 0, list(search.MODES))
+        return self.graph.nodes.sparkSession.createDataFrame([row], "ready boolean, documents long, modes array<string>")
 
     def ls(self, section: str = "") -> DataFrame:
         """The root's directories, or a section's entries; an unknown section is an error."""
@@ -65,14 +95,16 @@ class Engine:
         return views.listing(self.graph.nodes, section, dims.SECTIONS[section])
 
     def page(self, section: str, key: str) -> DataFrame:
-        """One page as (node_id, page); clients, vendors and products are their properties as JSON."""
+        """One page as (node_id, page), with notes and recent changes; clients, vendors and products are their properties as JSON."""
         kind = dims.SECTIONS[section]
         one = self.graph.nodes.where(F.col("node_id") == f"{kind}:{key}").select("node_id")
         make = {"people": pages.employees, "teams": pages.teams, "policies": pages.policies, "threads": pages.threads, "it-tickets": pages.tickets, "projects": pages.projects}.get(section)
         if make:
-            return make(self.graph, self.facts, self.provenance, one)
-        f = self.facts.join(one, "node_id", "left_semi").groupBy("node_id").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_set(F.struct("key", "value"))))).alias("page"))
-        return f
+            extra = views.change_block(self.changes().join(one, "node_id", "left_semi")) if self.feed is not None else []
+            if self.notes is not None:
+                extra += views.notes_block(self.notes.join(one, "node_id", "left_semi"))
+            return make(self.graph, self.facts, self.provenance, one, extra)
+        return self.facts.join(one, "node_id", "left_semi").groupBy("node_id").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_set(F.struct("key", "value"))))).alias("page"))
 
     def index(self) -> search.Index:
         if self._index is None:
@@ -80,20 +112,44 @@ class Engine:
         return self._index
 
     def retrieve(self, query: str, mode: str = "auto", k: int = 5, node_type: str | None = None, hops: int = 1, related: int = 6) -> DataFrame:
-        """(node_id, score, title, relations): the best nodes, with up to `related` titles of each one's neighbours."""
+        """The best nodes: rank, node_id, title, score, matched terms, evidence, up to `related` neighbours' titles, and the context as one text."""
+        if k < 1 or hops < 0 or related < 0:
+            raise ValueError("k must be at least 1, hops and related at least 0")
         top = self.index().search(query, mode, k, node_type)
+        w = Window.orderBy(F.desc("score"), "node_id")  # at most k rows
+        top = top.withColumn("rank", F.row_number().over(w)).withColumn("score", F.round("score", 4))
         near = self.graph.neighbours(top).withColumn("way", F.when(F.col("direction") == "outgoing", 0).otherwise(1))
+        proof = search.evidence_lines(top, self.facts, near, query)
         near = near.groupBy("node_id").agg(F.slice(F.transform(F.sort_array(F.collect_set(F.struct("way", "ord", "other", "other_title"))), lambda x: x["other_title"]), 1, related).alias("relations"))
-        return top.join(self.graph.nodes.select("node_id", "title"), "node_id").join(near, "node_id", "left").orderBy(F.desc("score"), "node_id")
-
-    def edit(self, node_id: str, key: str, value: str, at: int) -> "Engine":
-        """An edit by hand, as a record of the feed with ordinal `at`; it always applies."""
+        out = top.join(self.graph.nodes.select("node_id", "title"), "node_id").join(self.index().matched(query), "node_id", "left").join(proof, "node_id", "left").join(near, "node_id", "left")
+        none = F.array().cast("array<string>")
+        out = out.select("rank", "node_id", "title", "score", F.coalesce("matched", none).alias("matched"), F.coalesce("evidence", none).alias("evidence"), F.coalesce("relations", none).alias("relations"))
+        context = F.concat_ws("\n", F.concat(F.col("rank").cast("string"), F.lit(". "), "title", F.lit(" ("), "node_id", F.lit(")")), F.array_join("evidence", "; "), F.array_join("relations", "; "))
+        return out.withColumn("context", context).orderBy("rank")
+
+    def edit(self, node_id: str, key: str, value: str, at: int) -> Engine:
+        """An edit by hand, as a record of the feed at ordinal `at` or after all that is there; it always applies, and pages and the index follow."""
+        last = self._last()
+        at = at if last is None else max(at, last + 1)
         spark = self.graph.nodes.sparkSession
         kind = node_id.split(":", 1)[0]
         row = spark.createDataFrame([(node_id, kind, key, value, upsert.HUMAN, at, True)], "node_id string, node_type string, key string, value string, source_system string, ord long, human boolean")
-        return Engine(self.graph, self.facts, self.provenance, row if self.feed is None else self.feed.unionByName(row), self.notes)
-
-    def annotate(self, node_id: str, author: str, body: str, at: str) -> "Engine":
+        if self.feed is not None:
+            feed = self.feed.unionByName(row)
+        else:  # the facts at hand come first
+            source = F.col("source_system") if "source_system" in self.facts.columns else F.lit(None).cast("string")
+            old = self.facts.select("node_id", F.substring_index("node_id", ":", 1).alias("node_type"), "key", "value", source.alias("source_system"), F.lit(-1).cast("long").alias("ord"), F.lit(False).alias("human"))
+            feed = old.unionByName(row)
+        facts = upsert.facts(upsert.fold(feed))
+        nodes = self.graph.nodes
+        if key in TITLES:
+            best = F.coalesce(*[F.max(F.when(F.col("key") == k, F.col("value"))) for k in TITLES])
+            mine = facts.where(F.col("node_id") == node_id).agg(best.alias("_t"))  # one row
+            here = F.col("node_id") == node_id
+            nodes = nodes.join(F.broadcast(mine)).withColumn("title", F.when(here, F.coalesce("_t", "title")).otherwise(F.col("title"))).withColumn("text", F.when(here, F.lower("title")).otherwise(F.col("text"))).drop("_t")
+        return Engine(ContextGraph(nodes, self.graph.edges), facts, self.provenance, feed, self.notes)
+
+    def annotate(self, node_id: str, author: str, body: str, at: str) -> Engine:
         """A note on a node: a Note node with a 12-digit hex id, and an annotates edge."""
         spark = self.graph.nodes.sparkSession
         n = spark.createDataFrame([(node_id, author, body, at)], "node_id string, author string, body string, created_at string")

@@ -61,10 +61,12 @@ class Scratch:
         self.n = 0
         atexit.register(self._leave)  # results are lazy, so the tables stay as long as the session may read them
 
-    def save(self, df: DataFrame, name: str = "t") -> DataFrame:
+    def save(self, df: DataFrame, name: str = "t", by: tuple[str, ...] = ()) -> DataFrame:
+        """The table written and read again; `by` are columns, its last ones, that make folders."""
         self.n += 1
         p = f"{self.path}/{self.n}-{name}"
-        df.write.mode("overwrite").parquet(p)
+        w = df.write.mode("overwrite")
+        (w.partitionBy(*by) if by else w).parquet(p)
         return self.spark.read.schema(df.schema).parquet(p)
 
     def _leave(self) -> None:
@@ -91,10 +93,10 @@ def release_shuffles(spark: SparkSession) -> None:
     import gc
     import time
 
-    for _ in range(2):  # what Python lets go of reaches the JVM first, then its cleaner's queue
+    for _ in range(2):  # what Python lets go of reaches the JVM first, then its cleaner, which works beside the next step
         gc.collect()
         spark.sparkContext._jvm.System.gc()
-        time.sleep(1)
+        time.sleep(0.2)
 
 
 _shipped: set[str] = set()

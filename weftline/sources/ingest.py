@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline import dims
 from weftline.functions import text as T
 from weftline.operators.decisions import signature_mismatch
 from weftline.operators.graph import ContextGraph, guarded, last_wins
@@ -30,11 +31,20 @@ def _ordinal(df: DataFrame) -> DataFrame:
 
 
 def facts_of(df: DataFrame, node: Column, fields: dict[str, Column], falsy: bool = True) -> DataFrame:
-    """One row per property; `falsy` drops "", 0 and false like null, else only "" goes."""
-    empty = ["", "0", "0.0", "false"] if falsy else [""]
-    cells = F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(k).alias("key"), v.cast("string").alias("value")) for i, (k, v) in enumerate(fields.items())])
+    """One row per property; `falsy` drops "", the number 0 and the boolean false like null, else only "" goes. Texts are kept, "0" and "false" too."""
+    kinds = dict(df.select(*[v.alias(f"_{i}") for i, v in enumerate(fields.values())]).dtypes)
+
+    def text(i: int, v: Column) -> Column:
+        kind = kinds[f"_{i}"]
+        if falsy and kind == "boolean":
+            return F.when(v, v.cast("string"))
+        if falsy and (kind in ("tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal")):
+            return F.when(v != 0, v.cast("string"))
+        return v.cast("string")
+
+    cells = F.array(*[F.struct(F.lit(i).alias("pos"), F.lit(k).alias("key"), text(i, v).alias("value")) for i, (k, v) in enumerate(fields.items())])
     f = df.select(node.alias("node_id"), "ord", F.explode(cells).alias("c")).select("node_id", "ord", "c.pos", "c.key", "c.value")
-    return f.where(F.col("value").isNotNull() & ~F.col("value").isin(*empty))
+    return f.where(F.col("value").isNotNull() & (F.col("value") != ""))
 
 
 def _nodes(df: DataFrame, node: Column, kind: str, title: Column) -> DataFrame:
@@ -69,6 +79,8 @@ def enrich_resumes(facts: DataFrame, resumes: DataFrame) -> tuple[DataFrame, Dat
     fields = {"resume_text": F.coalesce(*[F.col(c) for c in ("Resume", "resume") if c in r.columns])}
     fields |= {f"cv_{c}": F.col(f"`{c}`") for c in r.columns if c not in ("emp_id", "Resume", "resume", "node_id", "ord")}
     new = facts_of(_ordinal(hit), F.col("node_id"), fields)
+    if "source_system" in facts.columns:
+        new = new.withColumn("source_system", F.lit(dims.HR))
     kept = facts.join(new.where("key = 'resume_text'").select("node_id", "key"), ["node_id", "key"], "left_anti")
     new = new.where("key = 'resume_text'").unionByName(new.where("key <> 'resume_text'").join(facts.select("node_id", "key"), ["node_id", "key"], "left_anti"))
     counts = r.join(known.withColumn("k", F.lit(1)), "node_id", "left").agg(F.count("k").alias("matched"), (F.count("*") - F.count("k")).alias("unmatched"))
@@ -164,14 +176,40 @@ INGESTERS = {
 }
 
 
-def build(records: dict[str, DataFrame], sources: list[str] | None = None, base: ContextGraph | None = None) -> tuple[ContextGraph, DataFrame]:
-    """(graph, facts) of the given record tables; `sources` picks phases, `base` is a graph to go on with."""
-    batches = [f(records[n]) for phase, fs in INGESTERS.items() if not sources or phase in sources for n, f in fs.items() if n in records]
-    if not batches:
+#: Where each record kind comes from.
+SOURCE_OF = {
+    "employees": dims.HR, "customers": dims.CRM, "products": dims.CRM, "sales": dims.CRM, "clients": dims.BM, "vendors": dims.BM,
+    "emails": "Enterprise_Mail_System", "chats": "Collaboration_tools", "tickets": dims.IT, "policies": "Policy_Documents",
+}
+#: Ordinals of one record table stay below; the table's own number is above, so later tables come later.
+ORD_BITS = 53
+
+
+def build(records: dict[str, DataFrame], sources: list[str] | None = None, base: ContextGraph | None = None, after: int | None = None) -> tuple[ContextGraph, DataFrame]:
+    """(graph, facts) of the given record tables; `sources` picks phases, `base` is a graph to go on with.
+
+    Facts carry the source of their record. Ordinals follow the phases and tables, and those of a re-ingest come
+    after the base's and after `after`, so what is written later wins.
+    """
+    chosen = [(n, f) for phase, fs in INGESTERS.items() if not sources or phase in sources for n, f in fs.items() if n in records]
+    if not chosen:
         raise ValueError("no records for the chosen sources")
-    nodes = _union(*[b.nodes for b in batches])
-    nodes = last_wins(nodes.unionByName(base.nodes.select(nodes.columns)) if base else nodes, ("node_id", "node_type"))
-    cols = ["src", "dst", "rel_type", "ord"]
-    es = [b.edges.select(cols) for b in batches if b.edges is not None] + ([base.edges.select(cols)] if base else [])
-    edges = guarded(last_wins(_union(*es)), nodes) if es else nodes.sparkSession.createDataFrame([], "src string, dst string, rel_type string, ord long")
-    return ContextGraph(nodes, edges), _union(*[b.facts for b in batches])
+    first = 0
+    if base is not None:
+        top = base.nodes.select("ord").unionByName(base.edges.select("ord")).agg(F.max("ord")).first()[0]
+        first = 0 if top is None else (top >> ORD_BITS) + 1
+    if after is not None:
+        first = max(first, (after >> ORD_BITS) + 1)
+    later = lambda df, k: df.withColumn("ord", F.col("ord") + F.lit((first + k) << ORD_BITS))
+    nodes, facts, edges = [], [], []
+    for k, (n, f) in enumerate(chosen):
+        b = f(records[n])
+        nodes.append(later(b.nodes, k))
+        facts.append(later(b.facts, k).withColumn("source_system", F.lit(SOURCE_OF[n])))
+        if b.edges is not None:
+            edges.append(later(b.edges, k))
+    more = lambda xs: reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), xs)
+    all_nodes = last_wins(more(nodes + ([base.nodes] if base is not None else [])), ("node_id", "node_type"))
+    es = edges + ([base.edges] if base is not None else [])
+    none = all_nodes.sparkSession.createDataFrame([], "src string, dst string, rel_type string, ord long, role string")
+    return ContextGraph(all_nodes, guarded(last_wins(more([none, *es])), all_nodes)), _union(*facts)
