@@ -1,16 +1,23 @@
 """PII (6): rules for the base spans, and a character-level BiLSTM-CRF that adds spans.
 
 The model is trained in numpy, from labelled spans: lines of a bounded sample of the corpus
-(`sample_docs`) into which entities of many spellings are written at known places, along with
-look-alikes that are none. Gates are piecewise linear ("hard" sigmoid and tanh), so inference is a few
-vector operations a character. Every text is cut into overlapping windows; each window is decoded by
-Viterbi, and each character takes its tag from the window whose middle is nearest, so spans run on
-across window ends. A window in which no path can beat "all outside" skips the search; that bound is
-exact. Spans that touch a base span are not added.
-
-Defined results: null text counts as empty: no spans and the hash of the empty string; texts of any
-length are read whole; repeated rows are each reported; an empty table gives no rows (the model is then
-trained on generated words alone); other columns are ignored. Positions are code points, end exclusive.
+(`sample_docs`, the first rows that arrive) into which entities of many spellings are written at known
+places, along with look-alikes that are none. Besides the four kinds of the rules it knows `secret`, the
+value that is assigned to a token, key or password. Its weights are kept in the shared folder under a hash of
+what they were trained from. Gates are piecewise linear ("hard" sigmoid and tanh), so inference is a few
+vector operations a character.
+
+Every text is cut into overlapping windows; each window is decoded by Viterbi, and each character takes its
+tag from the window whose middle is nearest, so spans run on across window ends. A window is decoded if it
+or its overlap holds an anchor: a digit, an @, or an "at" in brackets or before a "dot". Every entity the
+model is trained for has one, so other windows are outside. A window in which no path can beat "all outside"
+skips the search; that bound is exact. A span is what the tags say, widened to whole runs of letters and
+digits; no pattern decides about it. Spans that touch a base span are not added.
+
+Characters beyond ASCII are one class. Defined results: null text counts as empty: no spans and the hash of
+the empty string; texts of any length are read whole; repeated rows are each reported; an empty table gives
+no rows (the model is then trained on generated words alone); other columns are ignored. Positions are code
+points, end exclusive.
 """
 
 from __future__ import annotations
@@ -22,15 +29,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import common as C
-from weftline.runtime import ship_package, table
+from weftline.runtime import shared_dir, ship_package, table
 
 KINDS = ("email", "ip", "card", "phone")
-HIDDEN, WINDOW, OVERLAP = 6, 256, 48
+#: What the model tells apart; its own kind comes after those of the rules.
+TAGGED = (*KINDS, "secret")
+HIDDEN, WINDOW, OVERLAP = 32, 256, 64
 F32 = np.float32
+#: Changes with the labelled spans, so that kept weights follow them.
+VERSION = 3
 
 # ---- base rules
 
@@ -86,52 +98,81 @@ def base_spans(t: str) -> list[tuple[int, int, str]]:
 
 # ---- labelled spans
 
-_SINGLE = "@.+-()_%/:,=\"| \n[]"
-#: Classes of characters: 0 pads, then digits, a-f, g-z, A-Z, white space and marks of their own, others.
-CLASS = np.full(256, 5, np.uint8)
+_SINGLE = "@.+-()_%/:,=\"'| \n[]<>#"
+#: Classes of characters: 0 pads, then each letter, each of some marks, digits by the length of their run (1 stands for them), and 2 for all others.
+CLASS = np.full(256, 2, np.uint8)
 CLASS[48:58] = 1
-CLASS[97:103] = 2
-CLASS[103:123] = 3
-CLASS[65:91] = 4
+CLASS[97:123] = np.arange(3, 29)
+CLASS[65:91] = np.arange(29, 55)
 for _i, _c in enumerate(_SINGLE):
-    CLASS[ord(_c)] = 6 + _i
-N_CLASS = 6 + len(_SINGLE)
+    CLASS[ord(_c)] = 55 + _i
+DIGIT, LONGEST = 55 + len(_SINGLE), 20
+N_CLASS = DIGIT + LONGEST
 
 
-def _entity(r: random.Random) -> tuple[str, str]:
-    d = lambda n: "".join(r.choice("0123456789") for _ in range(n))
-    w = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 9)))
-    kind = r.choice(KINDS)
+def classes(chars: np.ndarray, off: np.ndarray | None = None) -> np.ndarray:
+    """The class of each character (lead byte); runs of digits don't cross the rows' bounds in `off`."""
+    out = CLASS[chars]
+    digit = out == 1
+    st, en = C.runs(digit, np.array([0, len(chars)]) if off is None else off)
+    out[digit] = np.repeat(DIGIT - 1 + np.minimum(en - st, LONGEST), en - st)
+    return out
+
+
+def _digits(r: random.Random, n: int) -> str:
+    return "".join(r.choice("0123456789") for _ in range(n))
+
+
+def _word(r: random.Random, lo: int = 2, hi: int = 9) -> str:
+    return "".join(r.choice("etaoinshrdlucmfwypvbgkjqxz"[: r.choice((12, 26))]) for _ in range(r.randint(lo, hi)))
+
+
+def _entity(r: random.Random, kind: str | None = None) -> tuple[str, str, str, str]:
+    """(kind, what leads to it, the entity, what follows it)."""
+    d, w = lambda n: _digits(r, n), lambda: _word(r)
+    kind = kind or r.choices(TAGGED, (10, 6, 10, 18, 8))[0]  # the least regular ones more often
     if kind == "email":
         user = r.choice((w(), f"{w()}.{w()}", f"{w()}{d(2)}", f"{w()}.{d(2)}", f"{w()}_{w()}"))
-        host = r.choice((w(), f"{w()}{d(1)}.{w()}", f"{w()}-{w()}"))
-        tld = r.choice(("com", "org", "net", "de", "fr", "es", "io"))
-        s = r.choice(("{u}@{h}.{t}",) * 4 + ("{u} (at) {h}.{t}", "{u} [at] {h} [dot] {t}", "{u} @ {h}.{t}"))
-        return kind, s.format(u=user, h=host, t=tld)
+        host = r.choice((w(), w(), f"{w()}{d(1)}.{w()}", f"{w()}-{w()}"))
+        tld = r.choice(("com", "org", "net", "de", "fr", "es", "io", "co.uk"))
+        at = r.choice(("@", "@", " @ ", " (at) ", " [at] ", "(at)", "[at]", " AT ", " at "))
+        dot = {" AT ": " DOT ", " at ": " dot "}.get(at) or r.choice((".", ".", r.choice((" [dot] ", " (dot) ", "[dot]", "(dot)"))) if at != "@" else (".",))
+        return kind, "", f"{user}{at}{host.replace('.', dot) if at != '@' else host}{dot}{tld}", ""
     if kind == "ip":
-        return kind, ".".join(str(r.randint(0, 255)) for _ in range(4))
+        return kind, "", r.choice((".", ".", ".", " . ", "[.]")).join(str(r.randint(0, 255)) for _ in range(4)), ""
     if kind == "card":
-        n = d(16)
-        g = [n[i : i + 4] for i in (0, 4, 8, 12)]
-        return kind, r.choice((n, n, " ".join(g), "-".join(g)))
-    return kind, r.choice(("+1 ({}) {}-{}", "+1 ({}) {}-{}", "({}) {}-{}", "{}-{}-{}", "+1-{}-{}-{}", "+49 {} {}{}", "+1 {} {} {}")).format(d(3), d(3), d(4))
+        g = [d(4) for _ in range(4)] if r.random() < 0.85 else [d(4), d(6), d(5)]
+        return kind, "", r.choice(("", "", " ", "-")).join(g), ""
+    if kind == "secret":
+        value = "".join(r.choice(r.choice(("0123456789abcdef", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"))) for _ in range(r.choice((16, 20, 24, 32, 40, 40, 64))))
+        name = r.choice(("token", "token", "key", "api_key", "secret", "password", "passwd", "access_token", "auth token", "pwd"))
+        s, q = r.choice((" = ", " = ", "=", ": ", ":", " : ")), r.choice(('"', '"', '"', "'", ""))
+        if r.random() < 0.2:
+            name, value = name.upper(), value.upper()
+        return kind, name + s + q, value, q
+    form = r.choice(("+1 ({}) {}-{}", "+1 ({}) {}-{}", "({}) {}-{}", "({}) {} {}", "{}-{}-{}", "{}.{}.{}", "{}.{}.{}", "+1-{}-{}-{}", "+49 {} {}{}", "+1 {} {} {}", "{} {} {}", "+1.{}.{}.{}"))
+    if r.random() < 0.2:
+        return kind, "", f"0{d(3)}{r.choice((' ', '/', '-', ' / '))}{d(r.randint(6, 8))}", ""
+    return kind, "", form.format(d(3), d(3), d(4)), ""
 
 
 def _alike(r: random.Random) -> str:
-    d = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    d, w = lambda n: _digits(r, n), lambda: _word(r)
     return r.choice(
         (
-            d(r.randint(1, 8)), f"{r.randint(1, 9)}.{r.randint(0, 9)}", f"{r.randint(1, 9)}.{r.randint(0, 20)}.{r.randint(0, 9)}", f"20{d(2)}-0{d(1)}-{d(2)}", f"{d(2)}:{d(2)}",
-            f"${d(3)}.{d(2)}", f"{d(2)}/{d(2)}/20{d(2)}", "".join(r.choice("0123456789abcdef") for _ in range(r.choice((8, 32, 40, 64)))), f"#{d(5)}", f"{d(1)},{d(3)},{d(3)}", f"@{d(2)}", f"({d(1)})", f"{d(4)}-{d(4)}", "+" + d(1),
+            d(r.randint(1, 8)), f"{r.randint(1, 9)}.{r.randint(0, 9)}", f"{r.randint(1, 9)}.{r.randint(0, 20)}.{r.randint(0, 9)}", f"20{d(2)}-0{d(1)}-{d(2)}", f"{d(2)}:{d(2)}", f"20{d(2)}-1{d(1)}-{d(2)}T{d(2)}:{d(2)}:{d(2)}", f"{d(2)}.{d(2)}.20{d(2)}", f"19{d(2)}-20{d(2)}",
+            f"${d(3)}.{d(2)}", f"{d(2)}/{d(2)}/20{d(2)}", "".join(r.choice("0123456789abcdef") for _ in range(r.choice((8, 32, 40, 64)))), f"#{d(5)}", f"{d(1)},{d(3)},{d(3)}", f"@{d(2)}", f"@{w()}", f"({d(1)})", f"{d(4)}-{d(4)}", "+" + d(1), f"{d(3)}-{d(4)}", f"ISBN 978-{d(1)}-{d(3)}-{d(5)}-{d(1)}",
+            f"{w()} at {w()}", f"at {d(2)} {w()}. {w()} dot", f"{w()} (at {d(2)})", f"the {r.choice(('token', 'key', 'secret', 'password'))} {w()} {w()}", f"{w()} = {w()}", f'{w()} = "{w()} {w()}"', f"{w()}: {w()}", f"{d(3)} {w()} {d(3)} {w()}", f"{d(2)} %", f"{d(1)}. {w()}", f"{w()}{d(3)}", f"v{d(1)}.{d(2)}", f"{d(3)} x {d(3)}", f"{d(10)} {w()}",
         )
     )
 
 
-def labelled(lines: list[str], n: int, size: int = 96, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+def labelled(lines: list[str], n: int, size: int = 72, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """(classes, tags) of n windows of `size` characters: corpus lines with entities and look-alikes written in."""
     r = random.Random(seed)
-    lines = lines or [" ".join("".join(r.choice("etaoinshrdlu") for _ in range(r.randint(1, 9))) for _ in range(12)) for _ in range(200)]
+    lines = lines or [" ".join(_word(r, 1) for _ in range(12)) for _ in range(200)]
     x, y = np.zeros((n, size), np.uint8), np.zeros((n, size), np.uint8)
+    marks = ("", "", "", "", ".", ",", "!!", "$$$", "***", "###", "|", ";", ")")
     for i in range(n):
         text, tags = [], []
 
@@ -142,26 +183,26 @@ def labelled(lines: list[str], n: int, size: int = 96, seed: int = 7) -> tuple[n
         while len(tags) < size + 40:
             line = r.choice(lines)
             a = r.randint(0, max(0, len(line) - 20))
-            part = line[a : a + r.randint(5, 60)]
-            put(re.sub(r"[0-9@+]", "", part), 0)  # the line's own figures carry no labels
+            part = re.sub(r"[0-9@+]", "", line[a : a + r.randint(5, 50)])  # the line's own figures carry no labels
+            put(part.rstrip() if r.random() < 0.9 else part.upper().rstrip(), 0)
             u = r.random()
-            if u < 0.55:
-                kind, s = _entity(r)
-                put(r.choice((" ", " ", " ", "\n", "(", ": ", " | ", "")) if kind != "email" else r.choice((" ", " ", "\n", ": ", "<")), 0)
-                put(s, 1 + KINDS.index(kind))
-                put(r.choice((" ", " ", " ", ". ", ", ", "\n", ")", " | ", "!! ", "$$$ ")), 0)
+            if u < 0.5:
+                kind, lead, s, tail = _entity(r)
+                put(r.choice((" ", " ", " ", "\n", " (", ": ", " | ", ". ")) + lead, 0)
+                put(s, 1 + TAGGED.index(kind))
+                put(tail + r.choice(marks) + r.choice((" ", " ", " ", "\n")), 0)
             elif u < 0.85:
                 put(" " + _alike(r) + r.choice((" ", ". ", ", ", "\n")), 0)
         cut = r.randint(0, len(tags) - size)
         data = np.frombuffer("".join(text).encode("latin-1", "replace"), np.uint8)
-        x[i] = CLASS[data][cut : cut + size]
+        x[i] = classes(data)[cut : cut + size]
         y[i] = np.array(tags, np.uint8)[cut : cut + size]
     return x, y
 
 
 # ---- the model
 
-_K = 1 + len(KINDS)
+_K = 1 + len(TAGGED)
 #: A path may enter a kind from outside, stay and leave; kinds never touch.
 _ALLOWED = np.eye(_K, dtype=bool)
 _ALLOWED[0, :] = _ALLOWED[:, 0] = True
@@ -180,69 +221,86 @@ def init(hidden: int = HIDDEN, seed: int = 1) -> dict[str, np.ndarray]:
     return p
 
 
-def _lstm(w: np.ndarray, u: np.ndarray, x: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
+def _lstm(w: np.ndarray, u: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Hidden states (T, H, B) of classes x (T, B); gates are in, forget, out, cell."""
     t, b = x.shape
     h4, hid = u.shape
     h, c = np.zeros((hid, b), F32), np.zeros((hid, b), F32)
     out = np.empty((t, hid, b), F32)
-    memo = []
     z, s = np.empty((h4, b), F32), np.empty((h4, b), F32)
     tmp = np.empty((hid, b), F32)
     for i in range(t):
         np.take(w, x[i], axis=1, out=z, mode="clip")
         np.matmul(u, h, out=s)
         z += s
-        if keep:
-            a = np.empty_like(z)
-            a[: 3 * hid] = np.clip(0.25 * z[: 3 * hid] + 0.5, 0, 1)
-            a[3 * hid :] = np.clip(z[3 * hid :], -1, 1)
-            cn = a[hid : 2 * hid] * c + a[:hid] * a[3 * hid :]
-            tc = np.clip(cn, -1, 1)
-            hn = a[2 * hid : 3 * hid] * tc
-            memo.append((h, c, a, cn, tc))
-            h, c = hn, cn
-            out[i] = h
-        else:
-            g = z[: 3 * hid]
-            g *= F32(0.25)
-            g += F32(0.5)
-            np.minimum(g, F32(1), out=g)
-            np.maximum(g, F32(0), out=g)
-            q = z[3 * hid :]
-            np.minimum(q, F32(1), out=q)
-            np.maximum(q, F32(-1), out=q)
-            c *= z[hid : 2 * hid]
-            q *= z[:hid]
-            c += q
-            np.minimum(c, F32(1), out=tmp)
-            np.maximum(tmp, F32(-1), out=tmp)
-            h = out[i]
-            np.multiply(z[2 * hid : 3 * hid], tmp, out=h)
+        g = z[: 3 * hid]
+        g *= F32(0.25)
+        g += F32(0.5)
+        np.minimum(g, F32(1), out=g)
+        np.maximum(g, F32(0), out=g)
+        q = z[3 * hid :]
+        np.minimum(q, F32(1), out=q)
+        np.maximum(q, F32(-1), out=q)
+        c *= z[hid : 2 * hid]
+        q *= z[:hid]
+        c += q
+        np.minimum(c, F32(1), out=tmp)
+        np.maximum(tmp, F32(-1), out=tmp)
+        h = out[i]
+        np.multiply(z[2 * hid : 3 * hid], tmp, out=h)
+    return out
+
+
+def _both(w: np.ndarray, u: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, list]:
+    """Hidden states (T, 2, H, B) of both directions at once, the second over reversed x (T, 2, B), and what its gradients need."""
+    t, _, b = x.shape
+    hid = u.shape[2]
+    h, c = np.zeros((2, hid, b), w.dtype), np.zeros((2, hid, b), w.dtype)
+    out, memo = np.empty((t, 2, hid, b), w.dtype), []
+    for i in range(t):
+        z = np.stack((w[0][:, x[i, 0]], w[1][:, x[i, 1]]))
+        z += u @ h
+        g = z[:, : 3 * hid]
+        g *= 0.25
+        g += 0.5
+        np.clip(g, 0, 1, out=g)
+        np.clip(z[:, 3 * hid :], -1, 1, out=z[:, 3 * hid :])
+        cn = z[:, hid : 2 * hid] * c
+        cn += z[:, :hid] * z[:, 3 * hid :]
+        tc = np.clip(cn, -1, 1)
+        memo.append((h, c, z, tc))
+        h, c = z[:, 2 * hid : 3 * hid] * tc, cn
+        out[i] = h
     return out, memo
 
 
-def _lstm_back(w, u, x, memo, dh_out):
-    t, b = x.shape
-    hid = u.shape[1]
-    dw, du = np.zeros_like(w), np.zeros_like(u)
-    dh, dc = np.zeros((hid, b), F32), np.zeros((hid, b), F32)
-    onehot = np.eye(w.shape[1], dtype=F32)
+def _both_back(w: np.ndarray, u: np.ndarray, x: np.ndarray, memo: list, dh_out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    t, _, b = x.shape
+    hid = u.shape[2]
+    du = np.zeros_like(u)
+    dh, dc = np.zeros((2, hid, b), w.dtype), np.zeros((2, hid, b), w.dtype)
+    every = np.empty((2, 4 * hid, t, b), w.dtype)
+    ut = u.transpose(0, 2, 1).copy()
     for i in range(t - 1, -1, -1):
-        h, c, a, cn, tc = memo[i]
-        dh = dh + dh_out[i]
-        dc = dc + dh * a[2 * hid : 3 * hid] * (np.abs(cn) < 1)
+        h, c, a, tc = memo[i]
+        dh += dh_out[i]
+        dc += dh * a[:, 2 * hid : 3 * hid] * (np.abs(tc) < 1)
         dz = np.empty_like(a)
-        dz[:hid] = dc * a[3 * hid :]
-        dz[hid : 2 * hid] = dc * c
-        dz[2 * hid : 3 * hid] = dh * tc
-        g = a[: 3 * hid]
-        dz[: 3 * hid] *= 0.25 * ((g > 0) & (g < 1))
-        dz[3 * hid :] = dc * a[:hid] * (np.abs(a[3 * hid :]) < 1)
-        dw += dz @ onehot[x[i]]
-        du += dz @ h.T
-        dh = u.T @ dz
-        dc = dc * a[hid : 2 * hid]
+        np.multiply(dc, a[:, 3 * hid :], out=dz[:, :hid])
+        np.multiply(dc, c, out=dz[:, hid : 2 * hid])
+        np.multiply(dh, tc, out=dz[:, 2 * hid : 3 * hid])
+        g = a[:, : 3 * hid]
+        dz[:, : 3 * hid] *= 0.25 * ((g > 0) & (g < 1))
+        np.multiply(dc * a[:, :hid], np.abs(a[:, 3 * hid :]) < 1, out=dz[:, 3 * hid :])
+        every[:, :, i] = dz
+        du += dz @ h.transpose(0, 2, 1)
+        dh = ut @ dz
+        dc *= a[:, hid : 2 * hid]
+    dw = np.zeros_like(w)
+    for k in range(2):
+        flat, order = x[:, k].ravel(), np.argsort(x[:, k].ravel(), kind="stable")
+        st = np.flatnonzero(np.concatenate(([True], np.diff(flat[order]) > 0)))
+        dw[k][:, flat[order][st]] = np.add.reduceat(every[k].reshape(4 * hid, -1)[:, order], st, axis=1)
     return dw, du
 
 
@@ -254,10 +312,11 @@ def _lse(a: np.ndarray, axis: int) -> np.ndarray:
 def loss_and_gradients(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """Mean negative log-likelihood a character of tags y under the CRF, for classes x, both (T, B)."""
     t, b = x.shape
-    hf, mf = _lstm(p["Wf"], p["Uf"], x, True)
-    hb, mb = _lstm(p["Wb"], p["Ub"], x[::-1], True)
-    hh = np.concatenate((hf, hb[::-1]), axis=1)
-    em = np.einsum("kh,thb->tkb", p["E"], hh) + p["e"][None, :, None]
+    w, u = np.stack((p["Wf"], p["Wb"])), np.stack((p["Uf"], p["Ub"]))
+    xx = np.stack((x, x[::-1]), axis=1)
+    hs, memo = _both(w, u, xx)
+    hh = np.concatenate((hs[:, 0], hs[::-1, 1]), axis=1)
+    em = np.matmul(p["E"], hh) + p["e"][None, :, None]
     tr = np.where(_ALLOWED, p["T"], F32(-30))
     al = np.empty_like(em)
     al[0] = em[0]
@@ -277,15 +336,16 @@ def loss_and_gradients(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -
     for i in range(t - 1):
         dtr += np.exp(al[i][:, None, :] + tr[:, :, None] + (em[i + 1] + be[i + 1])[None] - z).sum(-1)
     np.subtract.at(dtr, (y[:-1].ravel(), y[1:].ravel()), 1)
-    g = {"T": (dtr * _ALLOWED).astype(F32) * scale, "E": np.einsum("tkb,thb->kh", dem, hh), "e": dem.sum((0, 2))}
-    dh = np.einsum("kh,tkb->thb", p["E"], dem).astype(F32)
+    g = {"T": (dtr * _ALLOWED).astype(F32) * scale, "E": np.einsum("tkb,thb->kh", dem, hh, optimize=True), "e": dem.sum((0, 2))}
+    dh = np.matmul(p["E"].T, dem).astype(w.dtype)
     hid = p["Uf"].shape[1]
-    g["Wf"], g["Uf"] = _lstm_back(p["Wf"], p["Uf"], x, mf, dh[:, :hid])
-    g["Wb"], g["Ub"] = _lstm_back(p["Wb"], p["Ub"], x[::-1], mb, dh[::-1, hid:])
+    dw, du = _both_back(w, u, xx, memo, np.stack((dh[:, :hid], dh[::-1, hid:]), axis=1))
+    for k, d in enumerate("fb"):
+        g["W" + d], g["U" + d] = dw[k], du[k]
     return float((z.sum() - score) * scale), g
 
 
-def train(x: np.ndarray, y: np.ndarray, steps: int = 320, batch: int = 192, rate: float = 0.02, hidden: int = HIDDEN, seed: int = 1) -> dict[str, np.ndarray]:
+def train(x: np.ndarray, y: np.ndarray, steps: int = 420, batch: int = 64, rate: float = 0.02, hidden: int = HIDDEN, seed: int = 1) -> dict[str, np.ndarray]:
     """Weights after `steps` Adam steps over windows x with tags y, both (n, size)."""
     p, r = init(hidden, seed), np.random.default_rng(seed)
     m, v = ({k: np.zeros_like(w) for k, w in p.items()} for _ in range(2))
@@ -306,8 +366,8 @@ def decode(p: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
     """Best tags (T, B) of classes x (T, B); 0 pads are outside."""
     t, b = x.shape
     x = x.astype(np.intp)
-    hf, _ = _lstm(p["Wf"], p["Uf"], x, False)
-    hb, _ = _lstm(p["Wb"], p["Ub"], x[::-1], False)
+    hf = _lstm(p["Wf"], p["Uf"], x)
+    hb = _lstm(p["Wb"], p["Ub"], x[::-1])
     hid = hf.shape[1]
     tr = p["T"]
     # only differences to "outside" matter, and so do those of transitions
@@ -352,7 +412,31 @@ def decode(p: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
     return tags
 
 
-def tag(p: dict[str, np.ndarray], cls: np.ndarray, off: np.ndarray, window: int = WINDOW, overlap: int = OVERLAP, batch: int = 2048) -> np.ndarray:
+def anchors(cls: np.ndarray) -> np.ndarray:
+    """Characters that every entity has one of: a digit, an @, the "a" of an "at" in brackets or before a "dot"."""
+    out = (cls >= DIGIT) | (cls == CLASS[64])
+    letter = (cls >= 3) & (cls < 55)
+    fold = np.where(cls >= 29, cls - 26, cls)
+    n = len(cls)
+
+    def words(w: str) -> np.ndarray:
+        k = len(w)
+        if n < k + 2:
+            return np.zeros(0, np.int64)
+        hit = letter[1 : n - k]
+        for j, ch in enumerate(w):
+            hit = hit & (fold[1 + j : n - k + j] == CLASS[ord(ch)]) & letter[1 + j : n - k + j]
+        return np.flatnonzero(hit & ~letter[: n - k - 1] & ~letter[k + 1 : n]) + 1
+
+    at, dot = words("at"), words("dot")
+    open_ = np.zeros(256, bool)
+    open_[[CLASS[40], CLASS[91]]] = True
+    far = np.append(dot, n + 1000)[np.searchsorted(dot, at)] - at
+    out[at[open_[cls[at - 1]] | (far < OVERLAP)]] = True
+    return out
+
+
+def tag(p: dict[str, np.ndarray], cls: np.ndarray, off: np.ndarray, window: int = WINDOW, overlap: int = OVERLAP, batch: int = 1024) -> np.ndarray:
     """A tag for every character of a slice; cls are classes, off the rows' bounds in characters."""
     lens = np.diff(off)
     stride = window - overlap
@@ -367,6 +451,9 @@ def tag(p: dict[str, np.ndarray], cls: np.ndarray, off: np.ndarray, window: int
     # a window owns its middle; the outermost windows own the text's ends
     own_lo = np.where(k == 0, start, start + overlap // 2)
     own_hi = np.where(k == n[row] - 1, end, start + window - (overlap - overlap // 2))
+    c = np.concatenate(([0], np.cumsum(anchors(cls))))
+    some = c[np.minimum(end + overlap, off[row + 1])] > c[np.maximum(start - overlap, off[row])]
+    start, end, own_lo, own_hi = start[some], end[some], own_lo[some], own_hi[some]
     padded = np.concatenate((cls, np.zeros(window, np.uint8)))
     steps = np.arange(window)
     size = end - start
@@ -392,43 +479,48 @@ _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
 _ALNUM = _DIGIT.copy()
 _ALNUM[65:91] = _ALNUM[97:123] = _ALNUM[128:] = True
-#: What an added span must look like; the tags alone may stop short within a hex string or a word.
-_SHAPE = {
-    "email": re.compile(rb"[\w.%+-]+ ?(?:@|[\[(] ?at ?[\])]) ?[\w-]+(?: ?(?:\.|[\[(] ?dot ?[\])]) ?[\w-]+)+", re.I),
-    "ip": re.compile(rb"[0-9]{1,3}(?: ?\. ?[0-9]{1,3}){3}"),
-    "card": re.compile(rb"[0-9](?:[ -]?[0-9]){11,18}"),
-    "phone": re.compile(rb"[+(]{0,2}[0-9][0-9 ().-]{7,18}[0-9]"),
-}
 
 
 def _added(tags: np.ndarray, off: np.ndarray, chars: np.ndarray, base: dict[int, list]) -> dict[int, list]:
-    """The model's spans by row: whole figures or addresses of a plausible shape, clear of the base spans."""
+    """The model's spans by row, clear of the base spans: runs of one tag, widened to whole runs of letters and digits."""
     out: dict[int, list] = {}
     change = np.concatenate(([True], tags[1:] != tags[:-1]))
     change[off[:-1][off[:-1] < len(tags)]] = True
     st = np.flatnonzero(change)
     en = np.append(st[1:], len(tags))
-    ok = (tags[st] > 0) & (en - st >= 7) & (en - st <= 320)
+    ok = tags[st] > 0
     for s, e in zip(st[ok].tolist(), en[ok].tolist()):
-        kind = KINDS[tags[s] - 1]
+        kind = TAGGED[tags[s] - 1]
         r = int(np.searchsorted(off, s, side="right")) - 1
         lo, hi = int(off[r]), int(off[r + 1])
-        m = _SHAPE[kind].search(chars[s:e].tobytes())
-        if m is None:
-            continue
-        s, e = s + m.start(), s + m.end()
-        if (s > lo and _ALNUM[chars[s - 1]] and _ALNUM[chars[s]]) or (e < hi and _ALNUM[chars[e]]):
-            continue
-        if kind == "phone" and not 9 <= int(_DIGIT[chars[s:e]].sum()) <= 15:
+        while s < e and not _ALNUM[chars[s]] and chars[s] not in b"+(":
+            s += 1
+        while e > s and not _ALNUM[chars[e - 1]]:
+            e -= 1
+        if s == e:
             continue
+        while s > lo and _ALNUM[chars[s]] and _ALNUM[chars[s - 1]]:
+            s -= 1
+        while e < hi and _ALNUM[chars[e]] and _ALNUM[chars[e - 1]]:
+            e += 1
         s, e = s - lo, e - lo
-        if all(e <= a or s >= b for a, b, _ in base.get(r, ())):
-            out.setdefault(r, []).append((s, e, kind))
+        own = out.setdefault(r, [])
+        if own and s < own[-1][1]:  # widened into the span before
+            if own[-1][2] == kind:
+                own[-1] = (own[-1][0], max(e, own[-1][1]), kind)
+            continue
+        own.append((s, e, kind))
+    for r, found in list(out.items()):
+        left = [x for x in found if all(x[1] <= a or x[0] >= b for a, b, _ in base.get(r, ()))]
+        if left:
+            out[r] = left
+        else:
+            del out[r]
     return out
 
 
 def _join(spans: list[tuple[int, int, str]]) -> str:
-    return ",".join(f"{k}:{s}:{e}" for s, e, k in sorted(spans, key=lambda x: (x[0], KINDS.index(x[2]), x[1])))
+    return ",".join(f"{k}:{s}:{e}" for s, e, k in sorted(spans, key=lambda x: (x[0], TAGGED.index(x[2]), x[1])))
 
 
 def _find(p: dict[str, np.ndarray]):
@@ -444,12 +536,12 @@ def _find(p: dict[str, np.ndarray]):
             chars = data[lead]
             coff = np.searchsorted(lead, off)
             c = np.concatenate(([0], np.cumsum(marks[data])))
-            some = np.flatnonzero(c[off[1:]] > c[off[:-1]])
+            some = np.flatnonzero(c[off[1:]] > c[off[:-1]])  # every base span has one of them
             base: dict[int, list] = {}
             for r, t in zip(some.tolist(), C.column(rows, "text").take(pa.array(some)).to_pylist()):
                 if found := base_spans(t):
                     base[r] = found
-            more = _added(tag(p, CLASS[chars], coff), coff, chars, base) if len(chars) else {}
+            more = _added(tag(p, classes(chars, coff), coff), coff, chars, base) if len(chars) else {}
             count = np.zeros((4, n), np.int64)
             sha, spans = [nothing] * n, [""] * n
             for r, found in base.items():
@@ -462,7 +554,8 @@ def _find(p: dict[str, np.ndarray]):
                 spans[r] = _join(base.get(r, []) + found)
                 added[r] = len(found)
             yield pa.RecordBatch.from_arrays(
-                [C.column(rows, "doc_id"), *(pa.array(x) for x in count), pa.array(sha), pa.array(spans), pa.array(added)], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"]
+                [C.column(rows, "doc_id"), *(pa.array(x) for x in count), pa.array(sha), pa.array(spans), pa.array(added), pa.array(count.sum(0) + added)],
+                names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added", "n_spans"],
             )
 
     return run
@@ -471,16 +564,29 @@ def _find(p: dict[str, np.ndarray]):
 _models: dict[str, dict[str, np.ndarray]] = {}
 
 
-def learn(docs: DataFrame, sample_docs: int = 200, windows: int = 4000, steps: int = 320) -> dict[str, np.ndarray]:
-    """A model for this corpus, trained on labelled windows over lines of at most sample_docs documents."""
-    lines = [x for r in docs.select(F.col("text").cast("string")).limit(sample_docs).collect() for x in (r[0] or "").split("\n") if len(x) > 20]
-    key = hashlib.sha256(repr((lines, windows, steps)).encode()).hexdigest()
+def learn(docs: DataFrame, sample_docs: int = 200, windows: int = 6000, steps: int = 420) -> dict[str, np.ndarray]:
+    """A model for this corpus, trained on labelled windows over lines of at most sample_docs documents.
+
+    Weights are kept in the shared folder under a hash of the lines and settings, so a corpus is learnt once.
+    """
+    spark = docs.sparkSession
+    lines = sorted(x for r in docs.select(F.col("text").cast("string")).limit(sample_docs).collect() for x in (r[0] or "").split("\n") if len(x) > 20)
+    key = hashlib.sha256(repr((lines, windows, steps, HIDDEN, N_CLASS, VERSION)).encode()).hexdigest()
     if key not in _models:
-        _models[key] = train(*labelled(lines, windows), steps=steps)
+        path = f"{shared_dir(spark)}/weftline-models/pii-{key}.parquet"
+        try:
+            row = spark.read.parquet(path).first()
+            _models[key] = {n: np.frombuffer(w, F32).reshape(shape).copy() for n, w, shape in row["weights"]}
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            m = _models[key] = train(*labelled(lines, windows), steps=steps)
+            one = [([(n, bytearray(w.astype(F32).tobytes()), list(w.shape)) for n, w in m.items()],)]
+            spark.createDataFrame(one, "weights array<struct<name:string,w:binary,shape:array<int>>>").coalesce(1).write.mode("overwrite").parquet(path)
     return _models[key]
 
 
-SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
+SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long, n_spans long"
 
 
 def find_pii(docs: DataFrame, model: dict[str, np.ndarray] | None = None) -> DataFrame:
@@ -492,3 +598,19 @@ def find_pii(docs: DataFrame, model: dict[str, np.ndarray] | None = None) -> Dat
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents"))
+
+
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many base spans op6_pii counts, for comparison with SQL; their places are compared in tests."""
+    return op6_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
+_DIGITS_SQL = "list_reverse(regexp_extract_all(m, '[0-9]'))"
+PII_BASE_SQL = f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+SELECT doc_id, len(regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+')) AS n_email,
+ len(list_filter(regexp_extract_all(t, '[0-9]+(\\.[0-9]+)(\\.[0-9]+)(\\.[0-9]+)'), lambda m: len(list_filter(string_split(m, '.'), lambda x: length(ltrim(x, '0')) > 3 OR (CASE WHEN length(ltrim(x, '0')) BETWEEN 1 AND 3 THEN ltrim(x, '0')::INT ELSE 0 END) > 255)) = 0)) AS n_ip,
+ len(list_filter(regexp_extract_all(t, '[0-9]([\\x20-]?[0-9])+'), lambda m: len({_DIGITS_SQL}) BETWEEN 12 AND 19
+  AND list_sum(list_transform({_DIGITS_SQL}, lambda x, i: CASE WHEN i % 2 = 0 THEN 2 * x::INT - CASE WHEN x::INT > 4 THEN 9 ELSE 0 END ELSE x::INT END)) % 10 = 0)) AS n_card,
+ len(list_filter(regexp_extract_all(t, '\\+[0-9][\\x20().0-9-]+[0-9]'), lambda m: len({_DIGITS_SQL}) BETWEEN 9 AND 15)) AS n_phone FROM t
+"""
