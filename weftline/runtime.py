@@ -7,6 +7,8 @@ import os
 import sys
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -84,6 +86,22 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+@contextmanager
+def hash_joins(spark: SparkSession, most: str = "64m") -> Iterator[None]:
+    """While it lasts, adaptive execution may hash a join's side whose every shuffled partition is at most `most`.
+
+    Sizes are those that the shuffle wrote; a join with a larger partition is sorted, which spills. For jobs that
+    run inside the block.
+    """
+    key = "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold"
+    old = spark.conf.get(key)
+    spark.conf.set(key, most)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
 def release_shuffles(spark: SparkSession) -> None:
     """Have Spark delete the shuffle files of finished steps whose results are saved.
 
