@@ -199,3 +199,17 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def license_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op10_licenses says about the base phrases, for comparison with SQL."""
+    return op10_licenses(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+LICENSE_BASE_SQL = f"""
+WITH w AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+p(phrase, label) AS (VALUES {", ".join(f"({p.split()!r}, '{l}')" for p, l in BASE)}),
+hit AS (SELECT rid, label, i FROM (SELECT rid, ws, label, phrase, unnest(list_filter(range(0, len(ws)), lambda i: ws[i + 1:i + len(phrase)] = phrase)) AS i FROM w, p)),
+h AS (SELECT rid, count(*) AS n, min(i) AS a, max(i) AS b, array_to_string(list_sort(list(DISTINCT label)), ',') AS l FROM hit GROUP BY 1)
+SELECT doc_id, len(ws) AS n_words, coalesce(n, 0) AS n_base, a AS first_word, b AS last_word, coalesce(l, '') AS base_labels FROM w LEFT JOIN h USING (rid)
+"""

@@ -2,7 +2,8 @@
 
 Each rule's cost and rejection rate are estimated on a bounded sample; the rules then run in order of
 rejections per second, each only on the documents that all earlier ones let through. A document's
-verdict is the conjunction of all rules, so the order changes the cost and never the result.
+verdict is the conjunction of all rules, so the order changes the cost and never the result: `rejected_by`
+names the first rule that fails in the order of `RULES`, found for rejected documents alone.
 
 Where a table of labels is given, a rule against toxic text is learnt from it: of each language at most
 `SAMPLE_PER_CLASS` toxic and as many clean documents, those with the least hashes of their ids, are read
@@ -350,22 +351,31 @@ def estimate_order(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_docs
     return sorted(out, key=lambda x: (-(x[2] + 1e-6) / x[1], x[0]))
 
 
-def cascade(s: Slice, alive: np.ndarray, order: tuple[str, ...], rules: tuple[Rule, ...] = RULES) -> tuple[np.ndarray, np.ndarray]:
-    """(kept, index of the deciding rule in `rules`, -1 for none), starting from the rows in `alive`."""
-    by = {r.name: (i, r) for i, r in enumerate(rules)}
-    kept, why = alive.copy(), np.full(s.n, -1, np.int32)
+def cascade(s: Slice, alive: np.ndarray, order: tuple[str, ...], rules: tuple[Rule, ...] = RULES) -> np.ndarray:
+    """Which rows all rules let through, starting from the rows in `alive`."""
+    by = {r.name: r for r in rules}
+    kept = alive.copy()
     rows = np.flatnonzero(alive)
     part = s.take(rows)
     for name in order:
         if not len(rows):
             break
-        i, rule = by[name]
-        bad = rule.fails(part)
+        bad = by[name].fails(part)
         kept[rows[bad]] = False
-        why[rows[bad]] = i
         if bad.mean() > 0.1:  # a new, smaller slice pays once enough rows are gone
             rows, part = rows[~bad], part.take(np.flatnonzero(~bad))
-    return kept, why
+    return kept
+
+
+def reasons(s: Slice, rejected: np.ndarray, rules: tuple[Rule, ...] = RULES) -> np.ndarray:
+    """Of the rejected rows the first rule, in the order of `rules`, that fails; -1 for the others. The cascade's order plays no part."""
+    why = np.full(s.n, -1, np.int32)
+    rows = np.flatnonzero(rejected)
+    if len(rows):
+        part = s.take(rows)
+        for i, rule in reversed(list(enumerate(rules))):
+            why[rows[rule.fails(part)]] = i
+    return why
 
 
 def _verdicts(order: tuple[str, ...], rules: tuple[Rule, ...]):
@@ -374,7 +384,8 @@ def _verdicts(order: tuple[str, ...], rules: tuple[Rule, ...]):
             s = Slice(data, off)
             m = base(s)
             failed = base_failed(m)
-            kept, why = cascade(s, ~failed, order, rules)
+            kept = cascade(s, ~failed, order, rules)
+            why = reasons(s, ~failed & ~kept, rules)
             names = [rules[i].name if i >= 0 else ("base" if f else None) for i, f in zip(why, failed)]
             yield pa.RecordBatch.from_arrays(
                 [C.column(rows, "doc_id"), *(pa.array(m[k].astype(np.int64)) for k in m), pa.array(failed), pa.array(kept), pa.array(names, pa.string())],
@@ -404,7 +415,7 @@ def _keep(order: tuple[str, ...], rules: tuple[Rule, ...]):
             part = s.take(alive := np.flatnonzero(~short))
             ok = np.zeros(s.n, bool)
             ok[alive] = 100 * n_repeat_words(part) <= 20 * part.n_words
-            kept, _ = cascade(s, ok, order, rules)
+            kept = cascade(s, ok, order, rules)
             yield rows.filter(pa.array(kept))
 
     return run
@@ -420,3 +431,22 @@ def filter_documents(docs: DataFrame, sample_docs: int = 400, labels: DataFrame
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"), labels=table(spark, sf_dir, "labels"))
+
+
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op9_quality_rules says about the base figures, for comparison with SQL."""
+    return op9_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+QUALITY_BASE_SQL = """
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT rid, doc_id, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS ws,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS ls FROM t),
+win AS (SELECT rid, i, array_to_string(ws[i:i + 4], ' ') AS s FROM (SELECT rid, ws, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) > 4)),
+twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, s) AS n FROM win) WHERE n > 1),
+rep AS (SELECT rid, count(DISTINCT i + k) AS n_repeat_words FROM twice, range(5) r(k) GROUP BY 1),
+m AS (SELECT rid, doc_id, len(ws) AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(ls) - len(list_distinct(ls)) AS n_dup_lines FROM w)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+    n_words < 10 OR 100 * coalesce(n_repeat_words, 0) > 20 * n_words AS base_failed FROM m LEFT JOIN rep USING (rid)
+"""
