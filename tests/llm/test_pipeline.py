@@ -7,6 +7,7 @@ import pytest
 
 import corpus_pipeline
 from tests.llm.test_operators import brute_jaccard, brute_lines, check_packing
+from tests.llm.conftest import NASTY, rows_of
 from tests.oracle import same
 from weftline.llm import decontaminate, quality_rules, registry
 
@@ -31,8 +32,8 @@ def test_every_stage(spark, folder):
         if name == "quality rules":
             cur = {i: v for i, v in cur.items() if verdict[i]}
         elif name == "line dedup":
-            new = brute_lines([(i, t, s) for i, (t, s) in cur.items()])
-            cur = {i: (new[i][2], s) for i, (_, s) in cur.items()}
+            new = {i: t for i, _, _, t in brute_lines([(i, t, s) for i, (t, s) in cur.items()])}
+            cur = {i: (new[i], s) for i, (_, s) in cur.items()}
         elif name == "n-gram Jaccard join":
             ids = sorted(cur)
             comp = brute_jaccard([cur[i][0] for i in ids])
@@ -64,6 +65,37 @@ def test_boilerplate_goes_whatever_its_share(spark):
     assert out == {i: (f"page {i}", 6) for i in range(8)} | {8: ("", 0)}
 
 
+def test_nulls_repeated_rows_and_clashing_columns(spark, tmp_path):
+    """Null and empty texts, null ids, languages and sources, copies, and columns named as the operators name theirs."""
+    import random
+
+    r = random.Random(11)
+    text = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(2, 8))) for _ in range(n))
+    ts = [text(40) for _ in range(12)]
+    item = text(30)
+    texts = [None, "", " \n\n", "too short", ts[0], ts[0], *ts[1:], ts[3] + " end", f"{text(15)} {item} {text(10)}", text(20_000), "same line\n" * 50, *(f"banner of all sites\n{text(30)}" for _ in range(9))]
+    rows = rows_of(texts, ids=[None if i == 8 else 3 if i in (5, 6) else i for i in range(len(texts))], sources=[None if i == 0 else f"s{i}" for i in range(len(texts))])
+    spark.createDataFrame(rows, NASTY).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, item), (2, None), (3, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    cols, left = docs.columns, []
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == cols, name
+        out.write.parquet(f"{tmp_path}/out{k}")
+        docs = spark.read.parquet(f"{tmp_path}/out{k}")
+        left.append(sorted(x.text for x in docs.collect()))
+    good = [t for t in texts if t and len(t.split()) >= 10 and not t.startswith("same line")]
+    assert left[0] == sorted(good)
+    cut = sorted(t.removeprefix("banner of all sites\n") for t in good)
+    assert left[1] == cut
+    # of the two equal texts one stays, and of the near copies too
+    assert left[2] == sorted(set(cut) - {ts[3] + " end"}) or left[2] == sorted(set(cut) - {ts[3]})
+    assert left[3] == [t for t in left[2] if item not in t] and len(left[3]) == len(left[2]) - 1
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sum(x.start == 0 for x in got) == len(left[3]) and {x.offset for x in got if x.length == 1024} <= {0}
+
+
 def test_empty_tables(spark, tmp_path):
     for t in ("documents", "benchmark"):
         spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
@@ -76,5 +108,5 @@ def test_query_equals_sql(spark, name):
 
 
 def test_registered_names():
-    n = collections.Counter(int(re.match(r"op(\d+)_", q)[1]) for q in registry.QUERIES)
+    n = collections.Counter(int(m[1]) for q in registry.QUERIES if (m := re.match(r"op(\d+)_", q)))
     assert n == {k: 1 for k in range(1, 11)}

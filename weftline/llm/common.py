@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 
 U = np.uint64
 #: Text that one numpy pass handles at a time; a longer single document is a slice of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 WS = np.zeros(256, bool)
 WS[[0x20, 9, 10, 11, 12, 13]] = True

@@ -30,11 +30,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from weftline.llm.common import release
 from weftline.runtime import Scratch, ship_package, table
 
 MIN_SITES, LG_K = 8, 10
 #: 12 bytes each; 12 MB at most are sent to a task.
 BROADCAST_KEYS = 1_000_000
+#: Documents that Python splits into lines at a time.
+ROWS = 1000
 _WORD = "[^ \\t\\n\\x0B\\f\\r]"
 #: Spark's seed for xxhash64, so that Python finds the same keys.
 _SEED = 42
@@ -79,7 +82,7 @@ def _cut(h1: np.ndarray, h2: np.ndarray, at: int, counts: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hash_ = xxhash.xxh64_intdigest
-        for b in batches:
+        for b in (x.slice(i, ROWS) for x in batches for i in range(0, x.num_rows, ROWS)):
             col = b.column(at).cast(pa.string())
             texts = col.cast(pa.binary()).to_pylist()
             docs = [(t or b"").split(b"\n") for t in texts]
@@ -108,6 +111,7 @@ def _cut(h1: np.ndarray, h2: np.ndarray, at: int, counts: bool):
                     cut[r] = len(ks)
                 cols += [pa.array(n), pa.array(cut)]
             yield pa.RecordBatch.from_arrays(cols, names=[f"c{i}" for i in range(len(cols))])
+        release()
 
     return run
 
