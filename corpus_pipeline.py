@@ -1,4 +1,10 @@
-"""The corpus pipeline: stages over `documents`, each on all that the one before kept."""
+"""The corpus pipeline: stages over `documents`, each on all that the one before kept.
+
+Every stage takes and returns the columns of `documents` (the last one pieces), whatever further columns there
+are and what they are called. Null text counts as empty and is rejected by the first stage, like every text of
+fewer than ten words; null languages and sources are values of their own; rows that repeat an id are judged
+each, and of equal texts under one id one row stays; an empty table goes through all stages and gives no rows.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +15,7 @@ from weftline.runtime import Scratch, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that a quality rule rejects go; a folder without labels has no learnt rule."""
+    """Documents that a quality rule rejects go, null and empty texts among them; a folder without labels has no learnt rule."""
     from pyspark.errors import AnalysisException
 
     try:
@@ -22,27 +28,27 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cross-site boilerplate lines of any length and share leave the texts; n_chars follows."""
+    """Cross-site boilerplate lines of any length and share leave the texts, which may become empty; n_chars follows where it is there."""
     from pyspark.sql import functions as F
 
-    out = line_dedup.remove_boilerplate(docs, max_line_chars=None, spare_copies=False)
+    out = line_dedup.remove_boilerplate(docs)
     if "n_chars" in out.columns:
         out = out.withColumn("n_chars", F.length(F.coalesce("text", F.lit(""))).cast(docs.schema["n_chars"].dataType))
     return out.select(docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates one document stays, the one with the smallest id."""
+    """Of each group of near duplicates one document stays, the one with the smallest id; empty texts are near to nothing."""
     return ngram_join.keep_one(docs)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain a benchmark item go."""
+    """Documents that contain a benchmark item go; empty items and texts match nothing."""
     return decontaminate.remove_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left, packed into sequences."""
+    """What is left, packed into sequences; a text that has become empty is one id."""
     return packing.pack(docs)
 
 
