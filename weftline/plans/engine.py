@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from weftline import dims
 from weftline.operators import decisions, pages, resolve, search, upsert, views
 from weftline.operators.graph import ContextGraph
+from weftline.runtime import Scratch
 from weftline.sources import ingest
 
 #: A decider turns pending conflicts into (cluster_key, decision, confidence); the default reads a recorded table.
@@ -43,7 +44,11 @@ TITLES = ("name", "business_name", "subject", "issue", "title", "summary")
 
 @dataclass
 class Engine:
-    """Records go through one path: they join the feed, the feed is folded, and the fold gives facts, conflicts and changes."""
+    """Records go through one path: they join the feed, the feed is folded, and the fold gives facts, conflicts and changes.
+
+    Graph, feed and facts are tables in the shared folder, so pages and the index read a state instead of folding
+    the feed for every section.
+    """
 
     graph: ContextGraph
     facts: DataFrame
@@ -59,10 +64,13 @@ class Engine:
         kind = F.substring_index("node_id", ":", 1)
         feed = facts.select("node_id", kind.alias("node_type"), "key", "value", "source_system", "ord", F.lit(False).alias("human"))
         prov = facts.select("node_id", "source_system", F.lit("").alias("file")).distinct()
+        s = Scratch(g.nodes.sparkSession)
         if base is not None:
             feed = base.feed.unionByName(feed) if base.feed is not None else feed
             prov = base.provenance.unionByName(prov, allowMissingColumns=True).distinct()
-        return cls(g, upsert.facts(upsert.fold(feed)), prov, feed, base.notes if base else None)
+        feed = s.save(feed, "feed")
+        g = ContextGraph(s.save(g.nodes, "nodes"), s.save(g.edges, "edges"))
+        return cls(g, s.save(upsert.facts(upsert.fold(feed)), "facts"), s.save(prov, "provenance"), feed, base.notes if base else None)
 
     def _last(self) -> int | None:
         """The feed's last ordinal."""
@@ -140,7 +148,7 @@ class Engine:
             source = F.col("source_system") if "source_system" in self.facts.columns else F.lit(None).cast("string")
             old = self.facts.select("node_id", F.substring_index("node_id", ":", 1).alias("node_type"), "key", "value", source.alias("source_system"), F.lit(-1).cast("long").alias("ord"), F.lit(False).alias("human"))
             feed = old.unionByName(row)
-        facts = upsert.facts(upsert.fold(feed))
+        facts = Scratch(spark).save(upsert.facts(upsert.fold(feed)), "facts")
         nodes = self.graph.nodes
         if key in TITLES:
             best = F.coalesce(*[F.max(F.when(F.col("key") == k, F.col("value"))) for k in TITLES])
