@@ -166,10 +166,11 @@ class Index:
         scratch = scratch or Scratch(docs.sparkSession)
         if whole is None:
             whole = F.concat_ws(" ", "node_type", "node_id", "title", "text", "relations")
-        parts = [T.tokens(whole), *(F.array_distinct(T.tokens(F.col(c))) for c in ("text", "relations", "title"))]
-        mark = lambda i: lambda t: F.struct(t.alias("term"), F.lit(i).alias("f"))
-        cells = F.concat(*[F.transform(p, mark(i)) for i, p in enumerate(parts)])
-        t = docs.select("node_id", F.explode(cells).alias("c")).select("node_id", "c.term", "c.f")
+        words = lambda c: F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[a-z0-9_]+"), F.lit(0))
+        fields = F.array(*[F.struct(F.lit(i).alias("f"), words(c).alias("ws")) for i, c in enumerate((whole, F.col("text"), F.col("relations"), F.col("title")))])
+        # what T.tokens leaves out is left out after the words are rows, where the test is compiled
+        t = docs.select("node_id", F.explode(fields).alias("c")).select("node_id", "c.f", F.explode("c.ws").alias("term"))
+        t = t.where((F.length("term") > 1) & ~F.col("term").isin(*STOP_WORDS))
         of = lambda i: F.count_if(F.col("f") == i)
         t = t.groupBy("term", "node_id").agg(of(0).alias("tf"), *[(of(i) > 0).cast("int").alias(f"in_{c}") for i, c in enumerate(("text", "relations", "title"), 1)])
         t = t.withColumn("bucket", F.pmod(F.crc32(F.encode("term", "UTF-8")), F.lit(self.BUCKETS)).cast("int"))
