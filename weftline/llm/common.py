@@ -33,7 +33,7 @@ _pow = [np.ones(1, U), np.ones(1, U)]
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the multiplier and of its inverse modulo 2**64, n of each."""
     if len(_pow[0]) < n:
-        m = max(n, SLICE_BYTES + (1 << 16))
+        m = -(-max(n, SLICE_BYTES + (1 << 16)) // (1 << 20)) << 20  # in steps, so that a slightly longer text finds them made
         for i, x in enumerate((_X, _XI)):
             p = np.full(m, x, U)
             p[0] = 1
