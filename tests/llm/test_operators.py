@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tests.llm.conftest import NASTY, rows_of
 from weftline.llm import common as C
 from weftline.llm import components, decontaminate, licenses, line_dedup, ngram_join, packing, pii, quality_model, quality_rules, suffix_dedup, tokens
+from weftline.runtime import Scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
 lower = lambda t: re.sub("[A-Z]", lambda m: m.group().lower(), t)
@@ -687,6 +688,44 @@ def test_pairs_of_a_hot_token_come_in_steps(monkeypatch):
     assert len(got) == 40 * 39 // 2 and sum(got.values()) == 40 * 39 // 2 + 21
 
 
+def test_pairs_are_counted_in_passes_of_bounded_size(spark, monkeypatch):
+    import random
+
+    r = random.Random(4)
+    v = [f"w{i}" for i in range(25)]
+    ts = [" ".join(r.choice(v) for _ in range(r.randint(8, 40))) for _ in range(160)]
+    ts += [f"{t} tail" for t in ts[:20]] + ts[:5]
+    d = spark.createDataFrame(list(enumerate(ts)), "doc_id long, text string").repartition(3)
+    seen, totals, reach, full = [], [], ngram_join._reach, brute_jaccard(ts)
+
+    def counted(pairs):
+        seen.append(pairs.count())
+        return reach(pairs)
+
+    monkeypatch.setattr(ngram_join, "_reach", counted)
+    for at_once in (None, 1000):
+        seen.clear()
+        got = ngram_join.similar_documents(d, bucket_bytes=2000, pairs_at_once=at_once)
+        assert by_id(got, "n_shingles", "n_similar", "component_id") == full
+        totals.append(sum(seen))
+    assert len(seen) > 3 and totals[0] == totals[1] and max(seen) < 2 * 1000  # no pair is left out or counted twice
+
+
+def test_blocks_are_compared_in_passes_of_bounded_size(spark):
+    ts = [" ".join(f"t{j}" for j in range(3 * i, 3 * i + 60)) for i in range(40)] + ["some other text"]
+    d = spark.createDataFrame(list(enumerate(ts)), "doc_id long, text string")
+    saved = []
+
+    class Kept(Scratch):
+        def save(self, df, name="t", by=()):
+            saved.append(name)
+            return super().save(df, name, by)
+
+    got = ngram_join.similar_documents(d, Kept(spark), chunk=4, sets_at_once=20_000)
+    assert by_id(got, "n_shingles", "n_similar", "component_id") == brute_jaccard(ts)
+    assert saved.count("links") > 2
+
+
 def test_sets_with_equal_hashes_are_told_apart(spark):
     m = spark.createDataFrame([(1, 5, 7, 1, 2), (2, 5, 7, 1, 3), (3, 5, 7, 1, 3), (4, 5, 8, 9, 9)], "doc_id long, n long, g long, s1 long, s2 long")
     s = by_id(ngram_join.tell_apart(m), "s")
