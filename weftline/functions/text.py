@@ -177,8 +177,8 @@ def ticket_status(resolution: Column) -> Column:
 
 
 def age_label(now: Column, then: Column) -> Column:
-    """Minutes below an hour, hours below two days, else days."""
-    m = F.floor((F.unix_timestamp(now.cast("timestamp")) - F.unix_timestamp(then.cast("timestamp"))) / 60)
+    """Minutes below an hour, hours below two days, else days; parts of a second count, so whole minutes are those of the exact difference."""
+    m = F.floor((F.unix_micros(now.cast("timestamp")) - F.unix_micros(then.cast("timestamp"))) / 60_000_000)
     return F.when(m < 60, F.concat(m, F.lit("m ago"))).when(m < 48 * 60, F.concat(F.floor(m / 60), F.lit("h ago"))).otherwise(F.concat(F.floor(m / 1440), F.lit("d ago")))
 
 
