@@ -336,3 +336,31 @@ def test_readers(spark, tmp_path, small):
     assert g.nodes.first().title == "N" and g.edges.count() == 1
     readers.export_texts(small.nodes, str(tmp_path / "x"), ["a"], 1)
     assert spark.read.json(str(tmp_path / "x")).count() == 1
+
+
+def test_each_pair_of_names_is_matched_once(monkeypatch):
+    import pandas as pd
+
+    from weftline.functions import text as T
+
+    calls = []
+
+    class Counted(T.SequenceMatcher):
+        def __init__(self, *a):
+            calls.append(a[1:])
+            super().__init__(*a)
+
+    monkeypatch.setattr(T, "SequenceMatcher", Counted)
+    a, b = pd.Series(["once only nord", "once only sued"] * 500), pd.Series(["once only sued", "once only nord"] * 500)
+    assert T.similarity.func(a, b).nunique() <= 2 and sorted(calls) == [("once only nord", "once only sued"), ("once only sued", "once only nord")]
+
+
+def test_pairs_that_cannot_link_are_left_out_before_names_are_matched(spark, monkeypatch):
+    r = random.Random(5)
+    word = lambda: r.choice(["Nord", "Nordlicht", "Nordlichter", "Nord A", "Nord Bank of the Far East"])
+    rows = [(f"Client:{i}", "Client", i, f"{word()} {r.choice('abc')}", r.choice(["T1", "T2", None]), r.choice(["1 Quay 53113", "1 Quay Rd 53113", "77 Some Other Street", None]), r.choice(["food", "steel"])) for i in range(60)]
+    c = resolve.candidates(frame(spark, rows, "node_id string, node_type string, ord long, name string, tax_id string, address string, industry string"), resolve.RULES[0])
+    got = lambda: sorted(map(repr, resolve.score(resolve.pairs(c)).select("a_node_id", "b_node_id", "score", "reasons", "id_conflict").collect()))
+    few = got()
+    monkeypatch.setattr(resolve, "_most", lambda: F.lit(1.0))
+    assert few == got() and len(few) > 100

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -79,17 +80,19 @@ def email_domain(c: Column) -> Column:
     return F.try_element_at(F.split(email(c), "@", 2), F.lit(2))
 
 
+@lru_cache(1 << 16)
+def ratio(x: str | None, y: str | None) -> float:
+    """Sequence-matcher ratio of two texts; a worker keeps the last ones, since the pairs of a block repeat its few names."""
+    x, y = x or "", y or ""
+    if x == y:
+        return 1.0
+    return SequenceMatcher(None, x, y).ratio() if x and y else 0.0
+
+
 @F.pandas_udf(DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Sequence-matcher ratio; the argument order matters, the lesser ordinal goes first. Null counts as empty."""
-
-    def one(x: str | None, y: str | None) -> float:
-        x, y = x or "", y or ""
-        if x == y:
-            return 1.0
-        return SequenceMatcher(None, x, y).ratio() if x and y else 0.0
-
-    return pd.Series([one(x, y) for x, y in zip(a, b)], dtype="float64")
+    return pd.Series([ratio(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
 def signature_name(sig: Column) -> Column:

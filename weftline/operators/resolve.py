@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from weftline.dims import CONFLICT_CAP, CROSS_LINK_AT, LINK_AT, MERGE_AT
 from weftline.functions import text as T
+from weftline.runtime import shuffle_partitions
 
 
 @dataclass(frozen=True)
@@ -47,7 +48,11 @@ def block_sizes(cands: DataFrame) -> DataFrame:
 
 
 def pairs(cands: DataFrame) -> DataFrame:
-    """Unordered pairs inside a block, the lower ordinal as a."""
+    """Unordered pairs inside a block, the lower ordinal as a.
+
+    Blocks are spread over all shuffle partitions: few rows make many pairs, so their bytes don't tell how many tasks they need.
+    """
+    cands = cands.repartition(shuffle_partitions(cands.sparkSession), "block")
     a = cands.select(*[F.col(c).alias(f"a_{c}") for c in cands.columns])
     b = cands.select(*[F.col(c).alias(f"b_{c}") for c in cands.columns])
     return a.join(b, (F.col("a_block") == F.col("b_block")) & (F.struct("a_ord", "a_node_id") < F.struct("b_ord", "b_node_id")))
@@ -57,30 +62,56 @@ def _both(c: str) -> Column:
     return (F.col(f"a_{c}") == F.col(f"b_{c}")) & (F.col(f"a_{c}") != "")
 
 
-def score(p: DataFrame, fuzzy: bool = True) -> DataFrame:
-    """Pairs with score (noisy-OR of the strategies), reasons and id_conflict; below the link score they drop.
+def _differ(c: str) -> Column:
+    return (F.col(f"a_{c}") != F.col(f"b_{c}")) & (F.col(f"a_{c}") != "") & (F.col(f"b_{c}") != "")
 
-    The sequence-matcher UDF runs only where names or addresses are present and differ.
-    """
-    if fuzzy:
-        sim = lambda c: F.when((F.col(f"a_{c}") != F.col(f"b_{c}")) & (F.col(f"a_{c}") != "") & (F.col(f"b_{c}") != ""), T.similarity(F.col(f"a_{c}"), F.col(f"b_{c}")))
-        p = p.withColumn("name_sim", sim("nn")).withColumn("addr_sim", sim("na"))
-    else:
-        p = p.withColumn("name_sim", F.lit(None).cast("double")).withColumn("addr_sim", F.lit(None).cast("double"))
+
+def _strategies(name_sim: Column, addr_sim: Column) -> list[tuple[Column, str]]:
+    """What each strategy gives, null where it says nothing."""
     zips = F.col("a_zip").isNotNull() & (F.col("a_zip") == F.col("b_zip"))
-    strategies = [
+    return [
         (F.when(_both("tax"), 1.0), "tax_id identical"),
         (F.when(_both("nn"), 0.55), "name exact"),
-        (F.when(F.col("name_sim") >= 0.92, 0.45).when(F.col("name_sim") >= 0.80, 0.25), "name similar"),
-        (F.when(_both("na"), 0.7).when(F.col("addr_sim") >= 0.85, 0.5).when(zips & (F.col("addr_sim") >= 0.6), 0.35), "address"),
+        (F.when(name_sim >= 0.92, 0.45).when(name_sim >= 0.80, 0.25), "name similar"),
+        (F.when(_both("na"), 0.7).when(addr_sim >= 0.85, 0.5).when(zips & (addr_sim >= 0.6), 0.35), "address"),
         (F.when(_both("ind"), 0.1), "industry"),
         (F.when(_both("em"), 0.8), "contact_email"),
         (F.when(_both("ph"), 0.7), "phone_number"),
         (F.when(_both("rep"), 0.75), "representative"),
     ]
+
+
+def _miss(strategies: list[tuple[Column, str]]) -> Column:
     miss = F.lit(1.0)
     for s, _ in strategies:
         miss = miss * (F.lit(1.0) - F.coalesce(s, F.lit(0.0)))
+    return miss
+
+
+def _most() -> Column:
+    """A bound of the score from above: a ratio is at most twice the shorter length by the sum of both."""
+
+    def bound(c: str) -> Column:
+        a, b = F.length(f"a_{c}"), F.length(f"b_{c}")
+        return F.when(_differ(c), F.lit(2.0) * F.least(a, b) / (a + b) + 1e-9)
+
+    return F.lit(1.0) - _miss(_strategies(bound("nn"), bound("na")))
+
+
+def score(p: DataFrame, fuzzy: bool = True) -> DataFrame:
+    """Pairs with score (noisy-OR of the strategies), reasons and id_conflict; below the link score they drop.
+
+    The sequence-matcher UDF sees only pairs that it could lift to the link score: names or addresses are present,
+    differ, and are of lengths that allow the least ratio that counts.
+    """
+    if fuzzy:
+        sim = lambda c: F.when(_differ(c), T.similarity(F.col(f"a_{c}"), F.col(f"b_{c}")))
+        p = p.where(_most() >= LINK_AT - 1e-9)
+        p = p.withColumn("name_sim", sim("nn")).withColumn("addr_sim", sim("na"))
+    else:
+        p = p.withColumn("name_sim", F.lit(None).cast("double")).withColumn("addr_sim", F.lit(None).cast("double"))
+    strategies = _strategies(F.col("name_sim"), F.col("addr_sim"))
+    miss = _miss(strategies)
     reasons = F.array_compact(F.array(*[F.when(s.isNotNull(), F.lit(r)) for s, r in strategies]))
     p = p.withColumn("raw", F.lit(1.0) - miss).withColumn("reasons", reasons).where(F.col("raw") >= LINK_AT)
     clash = (F.col("a_tax") != "") & (F.col("b_tax") != "") & (F.col("a_tax") != F.col("b_tax"))
