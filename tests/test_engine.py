@@ -364,3 +364,17 @@ def test_pairs_that_cannot_link_are_left_out_before_names_are_matched(spark, mon
     few = got()
     monkeypatch.setattr(resolve, "_most", lambda: F.lit(1.0))
     assert few == got() and len(few) > 100
+
+
+def test_edges_of_small_clusters_are_made_by_all_partitions(spark):
+    """A few members make many edges, so neither adaptive coalescing nor a broadcast may leave them to one task."""
+    n = frame(spark, [(f"Client:{i}", "Client", i, f"Nord {i // 4}", "T1" if i % 2 else "T2") for i in range(40)], "node_id string, node_type string, ord long, name string, tax_id string")
+    c = resolve.candidates(n, resolve.RULES[0])
+    s, m = resolve.linked(c, fuzzy=False)
+    e = resolve.same_as(m, frame(spark, [(r.cluster, 0.6, [], "review") for r in m.select("cluster").distinct().collect()], "cluster string, top_score double, reasons array<string>, decision string"))
+    assert e.count() == sum(k * (k - 1) for k in [r["count"] for r in m.groupBy("cluster").count().collect()]) > 0
+    e.write.format("noop").mode("overwrite").save()
+    assert e.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    p = resolve.pairs(c)
+    assert p.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert "/weftline-" in "".join(s.inputFiles()) and "/weftline-" in "".join(m.inputFiles())

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from weftline.dims import CONFLICT_CAP, CROSS_LINK_AT, LINK_AT, MERGE_AT
 from weftline.functions import text as T
-from weftline.runtime import shuffle_partitions
+from weftline.runtime import Scratch, shuffle_partitions
 
 
 @dataclass(frozen=True)
@@ -146,6 +146,14 @@ def clusters(cands: DataFrame, scored: DataFrame) -> DataFrame:
     return edges.groupBy("block").applyInPandas(solve, "node_id string, cluster string")
 
 
+def linked(cands: DataFrame, fuzzy: bool = True, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
+    """(pairs that link, clusters), both stored: what is made of them reads them several times, and pairs are many."""
+    scratch = scratch or Scratch(cands.sparkSession)
+    s = score(pairs(cands), fuzzy).select("a_block", "a_node_id", "b_node_id", "a_ord", "b_ord", "score", "id_conflict", "reasons")
+    s = scratch.save(s, "links")
+    return s, scratch.save(clusters(cands, s), "members")
+
+
 def name_clusters(cands: DataFrame) -> DataFrame:
     """Clusters of equal normalised names, by key equality alone: (node_id, cluster, size)."""
     best = cands.where("nn <> ''").groupBy("block", "nn").agg(F.min(F.struct("ord", "node_id")).alias("_b"), F.count("*").alias("size"))
@@ -171,12 +179,16 @@ def decide(cands: DataFrame, members: DataFrame, scored: DataFrame) -> DataFrame
 
 
 def same_as(members: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Both directions of every pair of a linked or flagged cluster's members, with the cluster's score (three places) and reasons."""
+    """Both directions of every pair of a linked or flagged cluster's members, with the cluster's score (three places) and reasons.
+
+    Clusters are spread over all shuffle partitions, since few members make many edges; a broadcast of the members
+    would leave the edges to as many tasks as wrote them.
+    """
     d = decisions.where(F.col("decision") != "merge")
     d = d.select("cluster", F.round("top_score", 3).alias("score"), "reasons", F.when(F.col("decision") == "auto_link", "auto_linked").otherwise("needs_review").alias("status"))
-    m = members.join(d, "cluster")
+    m = members.join(d, "cluster").repartition(shuffle_partitions(members.sparkSession), "cluster")
     a, b = m.select("cluster", "status", "score", "reasons", F.col("node_id").alias("src")), m.select("cluster", F.col("node_id").alias("dst"))
-    return a.join(b, "cluster").where("src <> dst").select("src", "dst", F.lit("same_as").alias("rel_type"), "status", "score", "reasons")
+    return a.join(b.hint("merge"), "cluster").where("src <> dst").select("src", "dst", F.lit("same_as").alias("rel_type"), "status", "score", "reasons")
 
 
 def review_conflicts(decisions: DataFrame, members: DataFrame) -> DataFrame:

@@ -173,7 +173,6 @@ class Engine:
         w = pages.wide(self.facts, keys)
         n = self.graph.nodes.join(w, "node_id", "left").withColumnsRenamed({"title": "name", "registered_address": "address", "business_representative_employee": "representative"})
         c = resolve.candidates(n, rule)
-        s = resolve.score(resolve.pairs(c), fuzzy)
-        m = resolve.clusters(c, s)
+        s, m = resolve.linked(c, fuzzy)
         d = resolve.decide(c, m, s)
         return m, d, resolve.same_as(m, d)

@@ -14,7 +14,7 @@ from weftline.operators import decisions, pages, profile, resolve, upsert, views
 from weftline.plans import registry as R
 from weftline.plans.engine import Engine
 from weftline.plans.registry import query
-from weftline.runtime import table
+from weftline.runtime import Scratch, table
 
 MAIL, POLICY = "Enterprise_Mail_System", "Policy_Documents"
 
@@ -306,7 +306,7 @@ def q_decision_stats(spark, d):
  UNION ALL SELECT 'same_as_edges', coalesce(sum(size * (size - 1)), 0)::BIGINT FROM decided WHERE decision <> 'merge'""")
 def q_resolver_stats(spark, d):
     c, s, m = R._clusters(spark, d)
-    return resolve.run_stats(c, s, resolve.decide(c, m, s))
+    return resolve.run_stats(c, s, Scratch(spark).save(resolve.decide(c, m, s), "decisions"))
 
 
 @query(f"""WITH {R._NAMES} SELECT 'Product:' || keep AS node_id, p_brand AS source_system, '' AS file FROM part JOIN nc USING (p_partkey)

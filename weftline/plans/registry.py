@@ -427,8 +427,7 @@ def q_pair_scores_fuzzy(spark, d):
 
 def _clusters(spark, d):
     c = resolve.candidates(_parties(spark, d), resolve.RULES[0])
-    s = resolve.score(resolve.pairs(c), fuzzy=False)
-    return c, s, resolve.clusters(c, s)
+    return c, *resolve.linked(c, fuzzy=False)
 
 
 _CLUSTERS = f"""{_PARTIES}, RECURSIVE_EDGES AS (SELECT a_node_id AS a, b_node_id AS b FROM kept UNION ALL SELECT b_node_id, a_node_id FROM kept),
