@@ -87,3 +87,41 @@ def test_ingesting_twice_keeps_the_later_rows(spark):
     e = Engine.ingest({"customers": make("New")}, base=Engine.ingest({"customers": make("Old")}))
     assert {r.title.split()[0] for r in e.graph.nodes.collect()} == {"New"} and {r.value.split()[0] for r in e.facts.where("key = 'name'").collect()} == {"New"}
     assert e.conflicts("auto_resolved").count() == 20 and e.changes().count() == 20
+
+
+def test_tickets_of_participants_are_counted_without_pairs(spark):
+    """The first tickets and their number, against all pairs: participants tie in `first`, tickets have several raisers or none at hand."""
+    import random
+
+    from weftline.operators import pages
+
+    for seed in range(3):
+        r = random.Random(seed)
+        people = sorted({(f"T:{r.randint(0, 9)}", f"p{r.randint(0, 11)}"): (r.randint(0, 4), r.randint(0, 1)) for _ in range(70)}.items())
+        people = [(t, w, f) for (t, w), f in people]
+        raised = [(f"p{r.randint(0, 14)}", f"K:{r.randint(0, 90)}", r.randint(0, 5)) for _ in range(80)]
+        want = {}
+        for t, w, f in people:
+            for who, k, o in raised:
+                if who == w:
+                    want.setdefault(t, {}).setdefault(k, []).append((f, o))
+        want = {t: (len(ks), [k for _, k in sorted((min(o), k) for k, o in ks.items())][:4]) for t, ks in want.items()}
+        got = {}
+        p = spark.createDataFrame(people, "node_id string, who string, first struct<ord: int, e: int>")
+        for x in pages._first_tickets(p, spark.createDataFrame(raised, "who string, ticket string, tord int"), 4).orderBy("node_id", "rn").collect():
+            got.setdefault(x.node_id, (x.group_size, []))[1].append(x.ticket)
+        assert got == want and any(n > 4 for n, _ in want.values())
+
+
+def test_ranked_rows_and_folds_are_made_once(spark, tmp_path):
+    from weftline.operators import upsert, views
+    from weftline.operators.graph import top_per
+
+    rows = [(f"Email:{i % 5}", "Email", "pq"[i % 2], str(i % 3), "Workspace", i, False) for i in range(60)]
+    spark.createDataFrame(rows, "node_id string, node_type string, key string, value string, source_system string, ord long, human boolean").write.parquet(f"{tmp_path}/feed")
+    feed = spark.read.parquet(f"{tmp_path}/feed")
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    assert plan(top_per(feed, "node_id", 2, F.col("ord"))).count("FileScan") == 1
+    page = views.assemble(*views.change_block(upsert.change_log(upsert.fold(feed))))
+    assert plan(page).count("FileScan") == 1 and plan(page).count("Exchange hashpartitioning") == 1
+    assert page.where("node_id = 'Email:1'").first().page.count("\n- ") == 11

@@ -128,7 +128,10 @@ def guarded(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def top_per(df: DataFrame, by: str, n: int, *order: Column) -> DataFrame:
-    """The first n rows of each group, with rank `rn` and the group's size `group_size`."""
-    sized = df.groupBy(by).agg(F.count("*").alias("group_size"))
-    ranked = df.withColumn("rn", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("rn") <= n)
-    return ranked.join(sized, by)
+    """The first n rows of each group, with rank `rn` and the group's size `group_size`; rows without a group go.
+
+    Both are windows over one shuffle, so the rows are made once; a group's rows spill.
+    """
+    w = Window.partitionBy(by)
+    ranked = df.where(F.col(by).isNotNull()).withColumn("rn", F.row_number().over(w.orderBy(*order))).withColumn("group_size", F.count("*").over(w))
+    return ranked.where(F.col("rn") <= n).select(by, *[c for c in df.columns if c != by], "rn", "group_size")

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from weftline.functions import text as T
 from weftline.operators.graph import ContextGraph, top_per
-from weftline.operators.views import assemble, section
+from weftline.operators.views import assemble, listed, section
+from weftline.runtime import Scratch
 
 
 #: Sections of the caller's own (notes, recent changes), put on the pages of the nodes at hand.
@@ -36,8 +37,8 @@ def filtered_properties(facts: DataFrame, most: int = 8, chars: int = 200) -> Da
 
 def wide(facts: DataFrame, keys: list[str]) -> DataFrame:
     """(node_id, one column per key) of long facts; the last written value counts."""
-    best = facts.where(F.col("key").isin(*keys)).groupBy("node_id", "key").agg(F.max(F.struct("ord", "value")).alias("b"))
-    return best.groupBy("node_id").pivot("key", keys).agg(F.first(F.col("b.value")))
+    best = [F.max(F.when(F.col("key") == k, F.struct("ord", "value")))["value"].alias(k) for k in keys]
+    return facts.where(F.col("key").isin(*keys)).groupBy("node_id").agg(*best)
 
 
 def _title(nodes: DataFrame) -> DataFrame:
@@ -57,11 +58,13 @@ def _bullets(nodes: DataFrame, facts: DataFrame, number: int, head: str, fields:
 
 def _listed(rows: DataFrame, number: int, head: str, most: int, order: list[Column], text: Column) -> list[DataFrame]:
     """A heading with the count, the first lines and how many more there are; rows: node_id and what order and text use."""
-    t = top_per(rows, "node_id", most, *order)
-    one = t.where("rn = 1")
-    n = F.col("group_size").cast("string")
-    more = section(one.where(F.col("group_size") > most), number, F.lit(10**6), F.concat(F.lit("- ... and "), (F.col("group_size") - most).cast("string"), F.lit(" more")))
-    return [section(one, number, F.lit(0), F.concat(F.lit(f"\n## {head} ("), n, F.lit(")"))), section(t, number, F.col("rn"), text), more]
+    return [_ranked(top_per(rows, "node_id", most, *order), number, head, most, text)]
+
+
+def _ranked(rows: DataFrame, number: int, head: str, most: int, text: Column) -> DataFrame:
+    """_listed() of rows that have their ranks and counts."""
+    more = F.when(F.col("group_size") > most, F.concat(F.lit("- ... and "), (F.col("group_size") - most).cast("string"), F.lit(" more")))
+    return listed(rows, number, F.concat(F.lit(f"\n## {head} ("), F.col("group_size").cast("string"), F.lit(")")), text, more)
 
 
 def _sources(nodes: DataFrame, provenance: DataFrame) -> DataFrame:
@@ -123,8 +126,10 @@ def policies(g: ContextGraph, facts: DataFrame, provenance: DataFrame, ids: Data
 
 
 def _thread_mails(g: ContextGraph, n: DataFrame, facts: DataFrame) -> DataFrame:
+    """The mails of threads, stored, since several sections are made of them."""
     w = wide(facts, ["date", "body", "sender_name", "sender_emp_id", "recipient_emp_id", "recipient_name"]).withColumnRenamed("node_id", "other")
-    return _linked(g, n, "part_of_thread", "incoming").join(w, "other").withColumn("date", F.coalesce("date", F.lit("")))
+    m = _linked(g, n, "part_of_thread", "incoming").join(w, "other").withColumn("date", F.coalesce("date", F.lit("")))
+    return Scratch(m.sparkSession).save(m, "mails")
 
 
 def _participants(mails: DataFrame) -> DataFrame:
@@ -157,6 +162,27 @@ def tickets(g: ContextGraph, facts: DataFrame, provenance: DataFrame, ids: DataF
     return assemble(_title(n), status, *_bullets(n, facts, 2, "Ticket", {"priority": "Priority", "assigned_date": "Assigned", "issue": "Issue", "resolution": "Resolution"}), *people, _sources(n, provenance), *_extra(n, extra))
 
 
+def _first_tickets(people: DataFrame, raised: DataFrame, most: int) -> DataFrame:
+    """(node_id, ticket, o, rn, group_size): the first tickets that participants raised, and how many there are; people: node_id, who, first; raised: who, ticket, tord.
+
+    A thread's participants may have raised most of all tickets, so pairs aren't made. Tickets with one raiser are
+    counted by raiser, and only participants whose forerunners have fewer than `most` give any, `most` at most.
+    Tickets that several have raised could count twice; they are few, and theirs are the pairs that are made.
+    """
+    raised = raised.groupBy("who", "ticket").agg(F.min("tord").alias("tord"))
+    raised = raised.withColumn("raisers", F.count("*").over(Window.partitionBy("ticket")))
+    one = raised.where("raisers = 1").withColumn("k", F.row_number().over(Window.partitionBy("who").orderBy("tord", "ticket")))
+    counts = one.groupBy("who").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("node_id")
+    upto, equal = F.sum("n").over(w.orderBy("first")), F.sum("n").over(Window.partitionBy("node_id", "first"))
+    p = people.join(counts, "who").withColumn("before", upto - equal).withColumn("total", F.sum("n").over(w)).where(F.col("before") < most)
+    rows = p.join(one.where(F.col("k") <= most), "who").select("node_id", "ticket", F.struct("first", "tord").alias("o"), "total", F.lit(0).alias("shared"))
+    shared = people.join(raised.where("raisers > 1"), "who").groupBy("node_id", "ticket").agg(F.min(F.struct("first", "tord")).alias("o"))
+    rows = rows.unionByName(shared.withColumn("total", F.lit(0).cast("long")).withColumn("shared", F.lit(1)))
+    rows = rows.withColumn("rn", F.row_number().over(w.orderBy("o", "ticket"))).withColumn("group_size", F.max("total").over(w) + F.sum("shared").over(w))
+    return rows.where(F.col("rn") <= most).select("node_id", "ticket", "o", "rn", "group_size")
+
+
 def projects(g: ContextGraph, facts: DataFrame, provenance: DataFrame, ids: DataFrame | None = None, extra: Extra = ()) -> DataFrame:
     """(node_id, page): a thread's snapshot, contributing departments, participants and their tickets.
 
@@ -168,10 +194,10 @@ def projects(g: ContextGraph, facts: DataFrame, provenance: DataFrame, ids: Data
     dept = wide(facts, ["department"]).select(T.node_key(F.col("node_id")).alias("who"), "department").where("department is not null")
     touch = m.select("node_id", F.explode(F.array("sender_emp_id", "recipient_emp_id")).alias("who")).join(dept, "who").groupBy("node_id", "department").agg(F.count("*").alias("c"))
     raised = g.both_ways().where("direction = 'outgoing' and rel_type = 'raised_ticket'").select(T.node_key(F.col("node_id")).alias("who"), F.col("other").alias("ticket"), F.col("ord").alias("tord"))
-    tick = p.select("node_id", "who", "first").join(raised, "who").groupBy("node_id", "ticket").agg(F.min(F.struct("first", "tord")).alias("o"))
+    tick = _first_tickets(p.select("node_id", "who", "first"), raised, 25)
     parts = [_title(n), _span(m, 1), *_listed(touch, 2, "Departments", 10**9, [F.desc("c"), F.col("department")], F.concat(F.lit("- "), T.link(F.col("department"), "teams", F.col("department")), F.lit(" ("), F.col("c").cast("string"), F.lit(" touches)")))]
     parts += _listed(p, 3, "Participants", 10**9, [F.col("first"), F.col("who")], F.concat(F.lit("- "), T.link(F.col("name"), "people", F.col("who"))))
-    return assemble(*parts, *_listed(tick, 4, "Related IT tickets", 25, [F.col("o"), F.col("ticket")], F.concat(F.lit("- #"), T.node_key(F.col("ticket")))), _sources(n, provenance), *_extra(n, extra))
+    return assemble(*parts, _ranked(tick, 4, "Related IT tickets", 25, F.concat(F.lit("- #"), T.node_key(F.col("ticket")))), _sources(n, provenance), *_extra(n, extra))
 
 
 def documents(g: ContextGraph, facts: DataFrame, pages: DataFrame | None = None, page_chars: int = 5000) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.dims import AUTHORITY, AUTHORITY_GAP, CANONICAL, lookup
+from weftline.runtime import shuffle_partitions
 
 HUMAN = "Human"
 
@@ -40,8 +41,10 @@ def fold(feed: DataFrame) -> DataFrame:
     A record may carry `edited`: its property was set by hand before. Adds first_source (of the node), existing_source, current (value before), is_first (for its key),
     node_is_new, outcome (created, added, unchanged, updated, kept, pending), status and winner.
     """
-    first = feed.groupBy("node_id").agg(F.min(F.struct("ord", "source_system")).alias("_f"))
-    f = feed.join(first.select("node_id", F.col("_f.source_system").alias("first_source"), F.col("_f.ord").alias("_first_ord")), "node_id")
+    # one shuffle by node for all windows, over all partitions: columns of few values pack so well that their bytes would make a few huge tasks
+    f = feed.where("node_id is not null").repartition(shuffle_partitions(feed.sparkSession), "node_id")
+    n = Window.partitionBy("node_id").orderBy("ord", "source_system").rowsBetween(Window.unboundedPreceding, 0)
+    f = f.withColumn("first_source", F.first("source_system").over(n)).withColumn("_first_ord", F.first("ord").over(n))
     w = Window.partitionBy("node_id", "key").orderBy("ord")
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     f = f.withColumn("is_first", F.row_number().over(w) == 1).withColumn("node_is_new", F.col("ord") == F.col("_first_ord"))

@@ -98,6 +98,15 @@ def assemble(*sections: DataFrame) -> DataFrame:
     return rows.groupBy("node_id").agg(lines.alias("l")).select("node_id", F.array_join(F.transform("l", lambda x: x["text"]), "\n").alias("page"))
 
 
+def listed(ranked: DataFrame, number: int, head: Column, text: Column, more: Column) -> DataFrame:
+    """A whole section as one row: the heading, the lines of top_per() in their order, and what follows where there are more; head and more are of group_size.
+
+    Lines become one text where the ranks are counted, so a section is shuffled once and the page gets a row of it.
+    """
+    t = ranked.groupBy("node_id").agg(F.sort_array(F.collect_list(F.struct("rn", text.alias("t")))).alias("l"), F.max("group_size").alias("group_size"))
+    return section(t, number, F.lit(0), F.array_join(F.concat(F.array(head), F.transform("l", lambda x: x["t"]), F.array(more)), "\n"))
+
+
 def customer_pages(customers: DataFrame, history: DataFrame, sources: DataFrame | None = None) -> DataFrame:
     """Markdown of customers (node_id, key, name): basics, purchases as a table, sources."""
     c = customers
@@ -117,9 +126,8 @@ def change_block(changes: DataFrame, most: int = 10) -> list[DataFrame]:
     """A page's recent changes, latest first, as sections; changes: node_id, key, old_value, new_value, source_system, ord."""
     c = top_per(changes, "node_id", most, F.desc("ord"), F.col("key"))
     text = F.concat(F.lit("- "), "key", F.lit(": "), F.coalesce("old_value", F.lit("(none)")), F.lit(" to "), "new_value", F.lit(" ("), F.coalesce("source_system", F.lit("unknown")), F.lit(")"))
-    one = c.where("rn = 1")
-    more = section(one.where(F.col("group_size") > most), 8, F.lit(1000), F.concat(F.lit("- ... and "), (F.col("group_size") - most).cast("string"), F.lit(" more")))
-    return [section(one, 8, F.lit(0), F.concat(F.lit("\n## Recent changes ("), F.col("group_size").cast("string"), F.lit(")"))), section(c, 8, F.col("rn"), text), more]
+    more = F.when(F.col("group_size") > most, F.concat(F.lit("- ... and "), (F.col("group_size") - most).cast("string"), F.lit(" more")))
+    return [listed(c, 8, F.concat(F.lit("\n## Recent changes ("), F.col("group_size").cast("string"), F.lit(")")), text, more)]
 
 
 def notes_block(notes: DataFrame) -> list[DataFrame]:

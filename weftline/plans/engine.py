@@ -60,16 +60,17 @@ class Engine:
     @classmethod
     def ingest(cls, records: dict[str, DataFrame], sources: list[str] | None = None, base: Engine | None = None) -> Engine:
         """An engine over record tables; on a base, the records come after all that it has."""
-        g, facts = ingest.build(records, sources, base.graph if base else None, base._last() if base else None)
+        first = next(iter(records.values()), None)
+        s = Scratch(first.sparkSession) if first is not None else None
+        g, facts = ingest.build(records, sources, base.graph if base else None, base._last() if base else None, s and s.save)
         kind = F.substring_index("node_id", ":", 1)
         feed = facts.select("node_id", kind.alias("node_type"), "key", "value", "source_system", "ord", F.lit(False).alias("human"))
         prov = facts.select("node_id", "source_system", F.lit("").alias("file")).distinct()
-        s = Scratch(g.nodes.sparkSession)
         if base is not None:
             feed = base.feed.unionByName(feed) if base.feed is not None else feed
             prov = base.provenance.unionByName(prov, allowMissingColumns=True).distinct()
         feed = s.save(feed, "feed")
-        g = ContextGraph(s.save(g.nodes, "nodes"), s.save(g.edges, "edges"))
+        g = ContextGraph(g.nodes, s.save(g.edges, "edges"))
         return cls(g, s.save(upsert.facts(upsert.fold(feed)), "facts"), s.save(prov, "provenance"), feed, base.notes if base else None)
 
     def _last(self) -> int | None:

@@ -7,6 +7,7 @@ by source and is kept that way.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -185,11 +186,12 @@ SOURCE_OF = {
 ORD_BITS = 53
 
 
-def build(records: dict[str, DataFrame], sources: list[str] | None = None, base: ContextGraph | None = None, after: int | None = None) -> tuple[ContextGraph, DataFrame]:
+def build(records: dict[str, DataFrame], sources: list[str] | None = None, base: ContextGraph | None = None, after: int | None = None, keep: Callable[[DataFrame, str], DataFrame] | None = None) -> tuple[ContextGraph, DataFrame]:
     """(graph, facts) of the given record tables; `sources` picks phases, `base` is a graph to go on with.
 
     Facts carry the source of their record. Ordinals follow the phases and tables, and those of a re-ingest come
-    after the base's and after `after`, so what is written later wins.
+    after the base's and after `after`, so what is written later wins. `keep` stores the nodes, which edges are checked
+    against twice.
     """
     chosen = [(n, f) for phase, fs in INGESTERS.items() if not sources or phase in sources for n, f in fs.items() if n in records]
     if not chosen:
@@ -210,6 +212,7 @@ def build(records: dict[str, DataFrame], sources: list[str] | None = None, base:
             edges.append(later(b.edges, k))
     more = lambda xs: reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), xs)
     all_nodes = last_wins(more(nodes + ([base.nodes] if base is not None else [])), ("node_id", "node_type"))
+    all_nodes = keep(all_nodes, "nodes") if keep else all_nodes
     es = edges + ([base.edges] if base is not None else [])
     none = all_nodes.sparkSession.createDataFrame([], "src string, dst string, rel_type string, ord long, role string")
     return ContextGraph(all_nodes, guarded(last_wins(more([none, *es])), all_nodes)), _union(*facts)
