@@ -1,6 +1,7 @@
 """The engine's behaviour on small invented records."""
 
 import json
+import math
 import random
 
 import pytest
@@ -378,3 +379,33 @@ def test_edges_of_small_clusters_are_made_by_all_partitions(spark):
     p = resolve.pairs(c)
     assert p.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert "/weftline-" in "".join(s.inputFiles()) and "/weftline-" in "".join(m.inputFiles())
+
+
+def test_words_in_buffers_are_those_of_a_regex():
+    import re
+
+    import pyarrow as pa
+
+    ts = ["", "ab", "cd e fg", "", "é_x9é ab-ab\x00zz", "q", "Kelvin".lower(), "end", "", "tail x"]
+    a = pa.array(["skipped", *ts, "skipped"]).slice(1, len(ts))
+    words, row = search._words(a)
+    assert list(zip(row.tolist(), words.to_pylist())) == [(i, w) for i, t in enumerate(ts) for w in re.findall("[a-z0-9_]+", t) if len(w) > 1]
+
+
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_index_of_repeated_ids_equals_a_count(spark, monkeypatch, most):
+    """Postings are not shuffled but for ids of several rows; the weights are the same with and without a broadcast of idf."""
+    from collections import Counter
+
+    monkeypatch.setattr(search.Index, "BROADCAST_TERMS", most)
+    monkeypatch.setattr(search, "SLICE_BYTES", 30)
+    rows = [("P:1", "P", "Red", "the red fox red", "fox den", 1), ("P:1", "P", "Red", "red again", None, 1), ("P:2", "P", None, "Fox İ x y", "", 2), ("P:3", "P", "", None, "", 0)]
+    d = frame(spark, rows, "node_id string, node_type string, title string, text string, relations string, degree int")
+    i = search.Index(d, whole=F.col("text"))
+    want = Counter((w, r[0]) for r in rows for w in search.query_terms(r[3] or ""))
+    assert {(p.term, p.node_id): p.tf for p in i.posts.where("tf > 0").collect()} == want
+    assert {(p.term, p.node_id) for p in i.posts.where("in_relations = 1").collect()} == {("fox", "P:1"), ("den", "P:1")}
+    df = Counter(t for t, _ in want)
+    for x in i.w.collect():
+        assert x.w == pytest.approx((1 + math.log(want[x.term, x.node_id])) * (math.log(5 / (1 + df[x.term])) + 1))
+    assert search.Index(d.dropDuplicates(["node_id"])).posts.count() > 0

@@ -11,13 +11,17 @@ import math
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.dims import STOP_WORDS, TYPE_HINTS
 from weftline.functions import text as T
-from weftline.runtime import Scratch
+from weftline.runtime import Scratch, ship_package
 
 ROUTES = ("\\bemp(?:-|_)?[0-9]+\\b", "\\b[a-z]+[:]\\S+\\b", "\\bcustomer(?:-|_)?[0-9a-z]+\\b")
 MODES = ("auto", "graph", "vector", "hybrid")
@@ -44,6 +48,60 @@ def postings(docs: DataFrame, text: str = "text") -> DataFrame:
     return t.groupBy("term", "node_id").agg(F.count("*").alias("tf"))
 
 
+_WORD = np.zeros(256, bool)
+_WORD[[*b"abcdefghijklmnopqrstuvwxyz0123456789_"]] = True
+#: Bytes of one field that are cut into words at a time; a longer single document is a slice of its own.
+SLICE_BYTES = 4 << 20
+_FIELDS = ("whole", "text", "relations", "title")
+_POSTS = "term string, node_id string, tf long, in_text int, in_relations int, in_title int"
+
+
+def _words(low: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(words, row of each) of lower-case texts: what T.tokens finds, stop words included."""
+    low = low.cast(pa.string())  # some sessions send large offsets
+    off = np.frombuffer(low.buffers()[1], np.int32)[low.offset : low.offset + len(low) + 1].astype(np.int64)
+    data = np.frombuffer(low.buffers()[2] or b"", np.uint8)[off[0] : off[-1]]
+    off = off - off[0]
+    on = _WORD[data]
+    first, last = on.copy(), on.copy()
+    first[1:] &= ~on[:-1]
+    begin = off[:-1][off[:-1] < len(data)]  # a text's first byte begins a word, whatever the one before ends with
+    first[begin] = on[begin]
+    last[:-1] = on[:-1] & (~on[1:] | first[1:])
+    st, en = np.flatnonzero(first), np.flatnonzero(last) + 1
+    lone = en - st == 1
+    on[st[lone]] = False
+    st, size = st[~lone], (en - st)[~lone]
+    ends = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
+    return pa.Array.from_buffers(pa.string(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(data[on])]), np.searchsorted(off, st, side="right") - 1
+
+
+def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings of each row: how often the whole has a term, and which of the other fields have it."""
+    stop = pa.array(STOP_WORDS)
+    for b in batches:
+        fields = [b.column(b.schema.get_field_index(f)) for f in _FIELDS]
+        size = np.cumsum(np.max([pc.binary_length(f).to_numpy(zero_copy_only=False) for f in fields], axis=0)) if b.num_rows else np.zeros(0)
+        lo = 0
+        while lo < b.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + SLICE_BYTES, side="right")))
+            own = [f.slice(lo, hi - lo) for f in fields]
+            cut = [None if i == 0 and own[0].equals(own[1]) else _words(f) for i, f in enumerate(own)]
+            cut[0] = cut[0] or cut[1]
+            enc = pa.concat_arrays([c[0] for c in cut]).dictionary_encode()
+            key = enc.indices.to_numpy(zero_copy_only=False).astype(np.int64) * (hi - lo) + np.concatenate([c[1] for c in cut])  # a term's postings together
+            u, at = np.unique(key, return_inverse=True)
+            ends = np.cumsum([0, *(len(c[1]) for c in cut)])
+            counts = [np.bincount(at[i:j], minlength=len(u)) for i, j in zip(ends[:-1], ends[1:])]
+            keep = ~pc.is_in(enc.dictionary, value_set=stop).to_numpy(zero_copy_only=False)[u // (hi - lo)]
+            ids = b.column(b.schema.get_field_index("node_id"))
+            yield pa.RecordBatch.from_arrays(
+                [enc.dictionary.take(pa.array(u[keep] // (hi - lo))), ids.take(pa.array(lo + u[keep] % (hi - lo))), pa.array(counts[0][keep].astype(np.int64)), *[pa.array((c[keep] > 0).astype(np.int32)) for c in counts[1:]]],
+                names=["term", "node_id", "tf", "in_text", "in_relations", "in_title"],
+            )
+            lo = hi
+
+
 def idf(posts: DataFrame, n_docs: int) -> DataFrame:
     return posts.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0)
 
@@ -161,26 +219,42 @@ class Index:
     """
 
     BUCKETS = 64
+    #: Terms of more than one document that are broadcast, some 50 bytes each.
+    BROADCAST_TERMS = 500_000
 
     def __init__(self, docs: DataFrame, scratch: Scratch | None = None, whole: Column | None = None):
         scratch = scratch or Scratch(docs.sparkSession)
         if whole is None:
             whole = F.concat_ws(" ", "node_type", "node_id", "title", "text", "relations")
-        words = lambda c: F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[a-z0-9_]+"), F.lit(0))
-        fields = F.array(*[F.struct(F.lit(i).alias("f"), words(c).alias("ws")) for i, c in enumerate((whole, F.col("text"), F.col("relations"), F.col("title")))])
-        # what T.tokens leaves out is left out after the words are rows, where the test is compiled
-        t = docs.select("node_id", F.explode(fields).alias("c")).select("node_id", "c.f", F.explode("c.ws").alias("term"))
-        t = t.where((F.length("term") > 1) & ~F.col("term").isin(*STOP_WORDS))
-        of = lambda i: F.count_if(F.col("f") == i)
-        t = t.groupBy("term", "node_id").agg(of(0).alias("tf"), *[(of(i) > 0).cast("int").alias(f"in_{c}") for i, c in enumerate(("text", "relations", "title"), 1)])
+        ship_package(docs.sparkSession)
+        low = docs.select("node_id", *[F.lower(F.coalesce(c.cast("string"), F.lit(""))).alias(n) for n, c in zip(_FIELDS, (whole, F.col("text"), F.col("relations"), F.col("title")))])
+        posted = lambda d: d.mapInArrow(_posted, _POSTS)
+        # a row's postings are complete; only those of ids that several rows have are added up, so no other posting is shuffled
+        again = scratch.save(docs.groupBy("node_id").count().where("count > 1").select("node_id"), "repeated")
+        if again.isEmpty():
+            t = posted(low)
+        else:
+            some = posted(low.join(again, "node_id", "left_semi")).groupBy("term", "node_id")
+            some = some.agg(F.sum("tf").alias("tf"), *[F.max(f"in_{c}").alias(f"in_{c}") for c in ("text", "relations", "title")])
+            t = posted(low.join(again, "node_id", "left_anti")).unionByName(some)
         t = t.withColumn("bucket", F.pmod(F.crc32(F.encode("term", "UTF-8")), F.lit(self.BUCKETS)).cast("int"))
-        self.posts = scratch.save(t.repartition("bucket").sortWithinPartitions("bucket", "term"), "postings", by=("bucket",))
+        self.posts = scratch.save(t.sortWithinPartitions("bucket"), "postings", by=("bucket",))
         self.docs = scratch.save(docs.select("node_id", "node_type", "title", "degree"), "documents")
         self.n = self.docs.count()
         self.idf = scratch.save(idf(self.posts.where("tf > 0").select("term", "node_id"), self.n), "idf")
-        self.w = weighted(self.posts.where("tf > 0"), self.idf)
+        self.w = self._weighted()
         self.norms = scratch.save(norms(self.docs, self.w), "norms")
 
+    def _weighted(self) -> DataFrame:
+        """All postings with their weights. Terms of several documents are broadcast, counted first; the others share one idf. Beyond, idf is joined by shuffle."""
+        posts = self.posts.where("tf > 0")
+        often = self.idf.where("df > 1").select("term", "idf")
+        if often.count() > self.BROADCAST_TERMS:
+            return weighted(posts, self.idf)
+        once = F.log(F.lit((1.0 + self.n) / 2.0)) + 1.0
+        w = posts.join(F.broadcast(often), "term", "left").withColumn("idf", F.coalesce("idf", once))
+        return w.withColumn("w", (1.0 + F.log(F.col("tf"))) * F.col("idf"))
+
     def of_terms(self, terms: list[str]) -> DataFrame:
         """The postings of some terms."""
         where = sorted({zlib.crc32(t.encode()) % self.BUCKETS for t in terms})
