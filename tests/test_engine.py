@@ -409,3 +409,14 @@ def test_index_of_repeated_ids_equals_a_count(spark, monkeypatch, most):
     for x in i.w.collect():
         assert x.w == pytest.approx((1 + math.log(want[x.term, x.node_id])) * (math.log(5 / (1 + df[x.term])) + 1))
     assert search.Index(d.dropDuplicates(["node_id"])).posts.count() > 0
+
+
+def test_edges_are_hashed_after_one_shuffle(spark):
+    rows = [("a", "b", "r", 1), ("a", "b", "r", 3), ("a", "c", "r", 2), ("c", "b", "r", None)]
+    e = frame(spark, rows, "src string, dst string, rel_type string, ord long")
+    plan = lambda d: d._jdf.queryExecution().executedPlan().toString()
+    best = last_wins(e)
+    assert "SortAggregate" not in plan(best) and plan(best).count("Exchange hashpartitioning") == 1
+    assert {tuple(r) for r in best.collect()} == {("a", "b", "r", 3), ("a", "c", "r", 2), ("c", "b", "r", None)}
+    moved = resolve.rewire(e, frame(spark, [("c", "b"), ("b", "b")], "node_id string, canonical string"))
+    assert "SortAggregate" not in plan(moved) and {tuple(r) for r in moved.collect()} == {("a", "b", "r", 2)}

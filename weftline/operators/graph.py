@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.runtime import shuffle_partitions
+
 
 @dataclass
 class ContextGraph:
@@ -95,7 +97,7 @@ class ContextGraph:
 
     def layers(self, focus: DataFrame, scenario: DataFrame | None = None) -> DataFrame:
         """(node_id, layer): core, direct (one hop, or named), context (two hops), ambient; edges count both ways."""
-        e = self.both_ways().select("node_id", "other").distinct()
+        e = self.both_ways().select("node_id", "other")  # what is reached is made distinct, not all edges
         core = focus.select("node_id").distinct()
         direct = e.join(core, "node_id", "left_semi").select(F.col("other").alias("node_id"))
         if scenario is not None:
@@ -115,8 +117,14 @@ class ContextGraph:
 
 
 def last_wins(edges: DataFrame, key: tuple[str, ...] = ("src", "dst", "rel_type"), order: str = "ord") -> DataFrame:
-    """One edge for each key, the last written. The aggregate combines before the shuffle, unlike a window."""
+    """One edge for each key, the last written. The aggregate combines before the shuffle, unlike a window.
+
+    Without further columns it is the greatest order, which is hashed, not sorted; then rows are shuffled first, so that
+    no task gathers the keys of a whole file.
+    """
     rest = [c for c in edges.columns if c not in (*key, order)]
+    if not rest:
+        return edges.repartition(shuffle_partitions(edges.sparkSession), *key).groupBy(*key).agg(F.max(order).alias(order))
     best = edges.groupBy(*key).agg(F.max(F.struct(order, *rest)).alias("_r"))
     return best.select(*key, f"_r.{order}", *[f"_r.{c}" for c in rest])
 

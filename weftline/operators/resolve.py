@@ -247,8 +247,10 @@ def rewire(edges: DataFrame, aliases: DataFrame) -> DataFrame:
     s, d = F.coalesce("_s", "src"), F.coalesce("_d", "dst")
     moved = F.when((s != F.col("src")) | (d != F.col("dst")), 1).otherwise(0)
     e = e.select(s.alias("src"), d.alias("dst"), "rel_type", "ord", moved.alias("_m")).where("src <> dst")
-    best = e.groupBy("src", "dst", "rel_type").agg(F.max(F.struct("_m", "ord")).alias("_b"))
-    return best.select("src", "dst", "rel_type", F.col("_b.ord").alias("ord"))
+    # the greatest (_m, ord) as numbers, which are hashed instead of sorted
+    e = e.repartition(shuffle_partitions(e.sparkSession), "src", "dst", "rel_type").groupBy("src", "dst", "rel_type")
+    best = e.agg(F.max("_m").alias("_m"), *[F.max(F.when(F.col("_m") == i, F.col("ord"))).alias(f"_o{i}") for i in (0, 1)])
+    return best.select("src", "dst", "rel_type", F.when(F.col("_m") == 1, F.col("_o1")).otherwise(F.col("_o0")).alias("ord"))
 
 
 def merge_properties(facts: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame]:
