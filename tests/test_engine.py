@@ -420,3 +420,12 @@ def test_edges_are_hashed_after_one_shuffle(spark):
     assert {tuple(r) for r in best.collect()} == {("a", "b", "r", 3), ("a", "c", "r", 2), ("c", "b", "r", None)}
     moved = resolve.rewire(e, frame(spark, [("c", "b"), ("b", "b")], "node_id string, canonical string"))
     assert "SortAggregate" not in plan(moved) and {tuple(r) for r in moved.collect()} == {("a", "b", "r", 2)}
+
+
+def test_layers_walk_the_edges_once_a_hop(spark, tmp_path):
+    frame(spark, [("a", "b", "r", 1), ("b", "c", "r", 2), ("c", "d", "r", 3)], "src string, dst string, rel_type string, ord long").write.parquet(f"{tmp_path}/e")
+    g = ContextGraph(frame(spark, [(x,) for x in "abcd"], "node_id string"), spark.read.parquet(f"{tmp_path}/e"))
+    layers = g.layers(frame(spark, [("a",)], "node_id string"))
+    assert not any(f.startswith(f"file://{tmp_path}") for f in layers.inputFiles())
+    assert {r.node_id: r.layer for r in layers.collect()} == {"a": "core", "b": "direct", "c": "context", "d": "ambient"}
+    assert {(r.src, r.strength) for r in g.link_strength(layers).collect()} == {("a", "strong"), ("b", "soft"), ("c", "soft")}

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.runtime import shuffle_partitions
+from weftline.runtime import Scratch, shuffle_partitions
 
 
 @dataclass
@@ -96,15 +96,19 @@ class ContextGraph:
         return self.nodes.sparkSession.createDataFrame(found, "node_id string, depth int, rank int")
 
     def layers(self, focus: DataFrame, scenario: DataFrame | None = None) -> DataFrame:
-        """(node_id, layer): core, direct (one hop, or named), context (two hops), ambient; edges count both ways."""
+        """(node_id, layer): core, direct (one hop, or named), context (two hops), ambient; edges count both ways.
+
+        Each ring is stored, so a hop walks the edges once.
+        """
+        scratch = Scratch(self.nodes.sparkSession)
         e = self.both_ways().select("node_id", "other")  # what is reached is made distinct, not all edges
         core = focus.select("node_id").distinct()
         direct = e.join(core, "node_id", "left_semi").select(F.col("other").alias("node_id"))
         if scenario is not None:
             direct = direct.unionByName(scenario.select("node_id"))
-        direct = direct.distinct().join(core, "node_id", "left_anti")
+        direct = scratch.save(direct.distinct().join(core, "node_id", "left_anti"), "direct")
         context = e.join(direct, "node_id", "left_semi").select(F.col("other").alias("node_id")).distinct()
-        context = context.join(direct, "node_id", "left_anti").join(core, "node_id", "left_anti")
+        context = scratch.save(context.join(direct, "node_id", "left_anti").join(core, "node_id", "left_anti"), "context")
         known = core.withColumn("layer", F.lit("core")).unionByName(direct.withColumn("layer", F.lit("direct"))).unionByName(context.withColumn("layer", F.lit("context")))
         return self.nodes.select("node_id").join(known, "node_id", "left").select("node_id", F.coalesce("layer", F.lit("ambient")).alias("layer"))
 
