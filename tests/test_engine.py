@@ -429,3 +429,14 @@ def test_layers_walk_the_edges_once_a_hop(spark, tmp_path):
     assert not any(f.startswith(f"file://{tmp_path}") for f in layers.inputFiles())
     assert {r.node_id: r.layer for r in layers.collect()} == {"a": "core", "b": "direct", "c": "context", "d": "ambient"}
     assert {(r.src, r.strength) for r in g.link_strength(layers).collect()} == {("a", "strong"), ("b", "soft"), ("c", "soft")}
+
+
+def test_a_batch_is_folded_once(spark, monkeypatch, tmp_path):
+    from weftline.runtime import Scratch
+
+    rows = [("Email:1", "Email", "p", "1", "Workspace", 0, False), ("Email:1", "Email", "p", "2", "Workspace", 1, False)]
+    frame(spark, rows, "node_id string, node_type string, key string, value string, source_system string, ord long, human boolean").write.parquet(f"{tmp_path}/b")
+    s = Scratch(spark)
+    for t in reingest.fold_batch(None, spark.read.parquet(f"{tmp_path}/b"), s):
+        assert t.count() == 1 and all(s.path.removeprefix("file://") in f for f in t.inputFiles())
+    s.close()

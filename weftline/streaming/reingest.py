@@ -14,18 +14,23 @@ from pyspark.sql import functions as F
 
 from weftline import schema
 from weftline.operators import upsert
+from weftline.runtime import Scratch
 
 
 def _version(spark: SparkSession, root: str, n: int) -> DataFrame | None:
     return spark.read.parquet(f"{root}/state/v={n}") if n >= 0 else None
 
 
-def fold_batch(base: DataFrame | None, batch: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(state, change log, conflicts) after a batch; state: node_id, node_type, key, value, source_system, edited."""
+def fold_batch(base: DataFrame | None, batch: DataFrame, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(state, change log, conflicts) after a batch; state: node_id, node_type, key, value, source_system, edited.
+
+    With a scratch folder the fold is stored there, since five tables are made of it.
+    """
     feed = batch.select("node_id", "node_type", "key", "value", "source_system", "ord", "human", F.lit(False).alias("edited"))
     if base is not None:
         feed = feed.unionByName(base.select("node_id", "node_type", "key", "value", "source_system", F.lit(-1).cast("long").alias("ord"), F.lit(False).alias("human"), "edited"))
     f = upsert.fold(feed)
+    f = scratch.save(f, "folded") if scratch else f
     old = F.col("ord") >= 0
     kinds = f.groupBy("node_id").agg(F.first("node_type").alias("node_type"), F.first("first_source").alias("source_system"))
     marks = f.groupBy("node_id", "key").agg(F.max(F.col("human") | F.col("edited")).alias("edited"))
@@ -40,10 +45,12 @@ def start(spark: SparkSession, landing: str, root: str, available_now: bool = Tr
 
     def merge(batch: DataFrame, n: int) -> None:
         s = batch.sparkSession
-        state, changes, conflicts = fold_batch(_version(s, root, n - 1), batch)
+        scratch = Scratch(s)
+        state, changes, conflicts = fold_batch(_version(s, root, n - 1), batch, scratch)
         changes.write.mode("overwrite").parquet(f"{root}/changes/v={n}")
         conflicts.write.mode("overwrite").parquet(f"{root}/conflicts/v={n}")
         state.write.mode("overwrite").parquet(f"{root}/state/v={n}")
+        scratch.close()
 
     w = src.writeStream.foreachBatch(merge).option("checkpointLocation", f"{root}/checkpoint")
     return (w.trigger(availableNow=True) if available_now else w).start()
